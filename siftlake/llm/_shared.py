@@ -50,6 +50,12 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def stage(df: DataFrame, **columns) -> DataFrame:
+    """df with more columns, computed once a row: a generator of one row keeps projections and
+    filters above from taking the expressions in and repeating them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def ascii_lower(text):
     """Lower-case A-Z only; an all-ASCII text takes the fast path."""
     ascii_only = F.octet_length(text) == F.length(text)

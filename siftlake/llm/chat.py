@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import let
+from siftlake.llm._shared import let, stage
 
 OPEN, CLOSE = "### ", " </turn>\n"
 _CONTROL = r"(\\|###|</turn>)"
@@ -96,7 +96,7 @@ def format_conversations(
         return let(render(F.col("source"), level), tried)
 
     first = let(attempt(0), lambda a: F.when(a["round_trip"], a).otherwise(let(attempt(1), lambda b: F.when(b["round_trip"], b).otherwise(attempt(2)))))
-    out = convs.select("conv_id", first.alias("r")).select("conv_id", "r.*")
+    out = stage(convs, r=first).select("conv_id", "r.*")
     # a turn's content begins after its mark, role and colon, and ends before its close
     def spans(pieces: Column) -> Column:
         return F.aggregate(
@@ -112,14 +112,14 @@ def format_conversations(
             lambda a: a["found"],
         )
 
-    return out.withColumn("loss_spans", let(F.split("formatted", r" </turn>\n", -1), spans))
+    return stage(out, loss_spans=let(F.split("formatted", r" </turn>\n", -1), spans))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read from the formatted text."""
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return formatted.withColumn("loss", loss).select(
+    return stage(formatted, loss=loss).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),

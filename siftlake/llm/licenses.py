@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import ascii_lower, let
+from siftlake.llm._shared import ascii_lower, stage
 
 #: Identifier and sentence. Sentences are given in full and normalised like those of the texts.
 SENTENCES = {
@@ -109,7 +109,7 @@ def license_scan(
     sentences, rules = sentences or SENTENCES, rules or RULES
     _check(sentences, rules, TRIGGERS)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select(F.col(id_col).alias("doc_id"), recognise(text, sentences).alias("sentence_ids"))
+    out = stage(docs.select(F.col(id_col).alias("doc_id"), text.alias("__text")), sentence_ids=recognise(F.col("__text"), sentences))
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{x}>" for x in ids)).alias("ids")) for name, ids in rules])
     chain = F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     start = F.struct(chain.alias("left"), F.array().cast("array<string>").alias("found"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import let, materialize
+from siftlake.llm._shared import let, materialize, stage
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
@@ -64,12 +64,14 @@ def measure(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFr
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns(
-        {
+    names = ("n_words", "word_chars", "n_repeat_words", "n_symbols", "n_dup_lines", "base_failed")
+    out = stage(
+        docs.drop(*[prefix + n for n in names]),
+        **{
             f"{prefix}m": _measures(text),
             f"{prefix}n_symbols": (F.size(F.split(text, SYMBOL, -1)) - 1).cast("long"),
             f"{prefix}n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        }
+        },
     )
     out = out.withColumns({f"{prefix}{c}": F.col(f"{prefix}m.{c}") for c in ("n_words", "word_chars", "n_repeat_words")}).drop(f"{prefix}m")
     n = F.col(f"{prefix}n_words")
