@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -29,7 +30,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str | None = None, cached: int = 300_000) -> "SegmentEncoder":
+def encoder(path: str | None = None, cached: int = 700_000) -> "SegmentEncoder":
     """This worker process's encoder for a tokenizer file; later tasks of the worker use it again."""
     path = path or default_path()
     if (path, cached) not in _held:
@@ -58,7 +59,7 @@ class SegmentEncoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     @staticmethod
     def split(text: str) -> list[str]:
