@@ -159,7 +159,7 @@ def pack(
     schema = pa.schema([(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_many
         packer = Packer(tiers, step_tokens, pool, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], "<u4")
 
@@ -170,8 +170,9 @@ def pack(
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1)):
-                    packer.add(doc_id, np.concatenate([encode(text.as_py()), end]))
+                texts = (text.as_py() for text in some.column(1))
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts)):
+                    packer.add(doc_id, np.concatenate([ids, end]))
                 yield done()
         packer.finish()
         yield done()

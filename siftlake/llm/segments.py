@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -43,16 +44,16 @@ class SegmentEncoder:
 
     Two generations of words are held, each of at most `cached`: a word found in the older one moves
     to the younger one, and when that is full it becomes the older one. Segments of more than
-    `longest` characters aren't held.
+    `longest` characters aren't held. Texts of about `together` characters are taken at a time.
     """
 
-    def __init__(self, path: str, cached: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, cached: int = 300_000, longest: int = 64, together: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._cached, self._longest = cached, longest
+        self._cached, self._longest, self._together = cached, longest, together
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
@@ -65,22 +66,47 @@ class SegmentEncoder:
     def split(text: str) -> list[str]:
         """Segments of a text: one that begins with a line feed follows the last one at once, any
         other after a blank that isn't kept."""
+        words, lines = text.split(), text.count("\n")
+        blanks = text.count(" ") + lines
+        if len(words) == blanks + 1 and len("".join(words)) + blanks == len(text):
+            # all white space is single blanks and line feeds between words
+            return text.replace("\n", " \n").split(" ") if lines else words
         if _ODD.search(text) is None:
             return text.replace("\n", " \n").split(" ")
         return _CUT.split(text)
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        first, *rest = self.split(text)
-        found = list(map(self._young.get, rest))
-        if None in found:
-            missing = {w for w, ids in zip(rest, found) if ids is None}
-            new = self._find(missing)
-            found = [new[w] if ids is None else ids for w, ids in zip(rest, found)]
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order. Short texts go through the library together."""
+        group, held = [], 0
+        for text in texts:
+            group.append(text or "")
+            held += len(group[-1])
+            if held >= self._together:
+                yield from self._encode(group)
+                group, held = [], 0
+        yield from self._encode(group)
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        firsts, words, ends = [], [], []
+        for text in texts:
+            first, *rest = self.split(text)
+            firsts.append(first)
+            words += rest
+            ends.append(len(words))
+        found = list(map(self._young.get, words))
+        if at := [i for i, ids in enumerate(found) if ids is None]:
+            new = self._find({words[i] for i in at})
+            for i in at:
+                found[i] = new[words[i]]
             if len(self._young) > self._cached:
                 self._old, self._young = self._young, {}
-        return np.frombuffer(b"".join([*self._library([first]), *found]), "<u4")
+        begin = 0
+        for first, end in zip(self._library(firsts), ends):
+            yield np.frombuffer(b"".join([first, *found[begin:end]]), "<u4")
+            begin = end
 
     def _find(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that follow a blank and aren't in the younger generation."""

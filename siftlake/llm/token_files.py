@@ -196,7 +196,7 @@ def write(
     arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, shard = encoder(tokenizer).encode_many, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
         doc_ids, ids, held, before, number = [], [], 0, 0, 0
 
@@ -209,8 +209,9 @@ def write(
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1)):
-                    got = np.concatenate([encode(text.as_py()), end])
+                texts = (text.as_py() for text in some.column(1))
+                for doc_id, found in zip(some.column(0).to_pylist(), encode(texts)):
+                    got = np.concatenate([found, end])
                     doc_ids.append(doc_id)
                     ids.append(got)
                     held += len(got)
