@@ -34,25 +34,38 @@ _HEAD = struct.Struct("<4s6Q")
 ROWS = 256
 
 
-def _frequent(seq: np.ndarray, least: int, most: int, bits: int) -> np.ndarray:
-    """Pairs (left << 32 | right) that occur at least `least` times, the most frequent first.
+def _frequent(seq: np.ndarray, least: int, most: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (left << 32 | right) that occur at least `least` times, the most frequent first; where
+    they occur; and which of them each place holds.
 
     Counts are taken by hash, so the candidates of a full bucket are counted again exactly.
     """
-    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    hashed = (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    counts = np.bincount(hashed.astype(np.int64), minlength=1 << bits)
+    mixed = seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)
+    hashed = (mixed >> np.uint32(32 - bits)).astype(np.int64)
+    counts = np.bincount(hashed, minlength=1 << bits)
     full = np.flatnonzero(counts >= least)
     if len(full) > most:
         full = full[np.argpartition(-counts[full], most)[:most]]
-    if not len(full):
-        return np.zeros(0, np.uint64)
-    wanted = np.zeros(1 << bits, bool)
-    wanted[full] = True
-    found, n = np.unique(pairs[wanted[hashed.astype(np.int64)]], return_counts=True)
-    keep = n >= least
-    order = np.lexsort((found[keep], -n[keep].astype(np.int64)))
-    return found[keep][order][:most]
+    bucket_of = np.full(1 << bits, -1, np.int32)
+    bucket_of[full] = np.arange(len(full))
+    bucket = bucket_of[hashed]
+    at = np.flatnonzero(bucket >= 0)
+    bucket = bucket[at]
+    pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+    # a bucket has one pair as a rule; the places of any other are counted by sorting
+    one = np.zeros(len(full), np.uint64)
+    one[bucket] = pair
+    other = pair != one[bucket]
+    rest, rest_n = np.unique(pair[other], return_counts=True)
+    found = np.concatenate([one, rest])
+    n = np.concatenate([np.bincount(bucket[~other], minlength=len(full)), rest_n])
+    bucket[other] = len(full) + np.searchsorted(rest, pair[other])
+    order = np.lexsort((found, -n))
+    order = order[n[order] >= least][:most]
+    rank = np.full(len(found), -1, np.int64)
+    rank[order] = np.arange(len(order))
+    slot = rank[bucket]
+    return found[order], at[slot >= 0], slot[slot >= 0]
 
 
 def compress(ids: np.ndarray, rounds: int = 6, pairs: int = 512, least: int = 16, bits: int = 20):
@@ -67,28 +80,16 @@ def compress(ids: np.ndarray, rounds: int = 6, pairs: int = 512, least: int = 16
     for _ in range(rounds):
         if len(seq) < 2 * least:
             break
-        top = _frequent(seq, least, pairs, bits)
+        top, at, slot = _frequent(seq, least, pairs, bits)
         if not len(top):
             break
-        code = np.uint32(first + sum(map(len, left))) + np.arange(len(top), dtype=np.uint32)
-        order = np.argsort(top)
-        ranked, codes = top[order], code[order]
-        by_left = np.zeros(int(seq.max()) + 1, bool)
-        by_left[(top >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(by_left[seq[:-1]])
-        here = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        slot = np.minimum(np.searchsorted(ranked, here), len(ranked) - 1)
-        hit = ranked[slot] == here
-        at, slot = at[hit], slot[hit]
-        if not len(at):
-            break
         # in a run of neighbouring positions every second one is taken, from the first
         starts = np.r_[True, np.diff(at) != 1]
         run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, slot = at[take], slot[take]
         seq = seq.copy()
-        seq[at] = codes[slot]
+        seq[at] = first + sum(map(len, left)) + slot
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
