@@ -15,6 +15,8 @@ from siftlake.llm._shared import materialize, table
 
 #: Up to so many ids a list of ids is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Words that a packing worker holds: few, as executors hold what earlier stages left as well.
+CACHED_WORDS = 150_000
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, cached_words=CACHED_WORDS)
 
 
 STAGES = [

@@ -45,6 +45,15 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows in this session: the default of 10,000 whole texts,
+    held by the JVM and by Python for each task, is too much for small executors."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > rows:
+        spark.conf.set(name, str(rows))
+
+
 def let(value, body):
     """body(value) with value evaluated once a row, however often body refers to it."""
     return F.element_at(F.transform(F.array(value), body), 1)
