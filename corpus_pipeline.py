@@ -37,8 +37,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least id. Rows with a null id stay."""
-    found = simhash.near_duplicates(docs)
+    """One document of each group of texts of about 0.8 or more in five-word shingles: the one with the
+    least id. Rows with a null id stay."""
+    found = simhash.near_copies(docs)
     return _without(docs, found.where(F.col("doc_id") != F.col("component_id")))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import materialize
+from siftlake.llm._shared import materialize, short_batches
 
 ROWS = 256
 #: Searches that go down a forest at a time.
@@ -112,7 +112,7 @@ class Forest:
                     want = d + key
                     edge = node * 65 + want
                     slot = np.minimum(np.searchsorted(self._edges, edge), max(0, len(self._edges) - 1))
-                    hit = (want > 0) & (want <= 64) & (self._edges[slot] == edge) if len(self._edges) else np.zeros(len(q), bool)
+                    hit = (want >= 0) & (want <= 64) & (self._edges[slot] == edge) if len(self._edges) else np.zeros(len(q), bool)
                     next_q.append(q[hit])
                     next_n.append(self._children[slot[hit]] if len(self._edges) else node[hit])
                 q, node = np.concatenate(next_q), np.concatenate(next_n)
@@ -223,3 +223,131 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.join(least, "root").select("fp", "component_id", "class_size")
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
+
+
+#: Words of 64 bits in a long fingerprint, and least shingles taken as a text's shards.
+WORDS, KEYS = 8, 6
+#: Rows of a shard that are searched against one another; a larger shard is cut into such pieces.
+PIECE, LEADERS = 1024, 32
+#: Pairs that one slice of a partition's pieces may have.
+SLICE = 1 << 22
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of 64-bit hashes of 64-bit hashes."""
+    x = h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, np.ndarray, np.ndarray]:
+    """(hash of the word sequence, SimHash of WORDS x 64 bits, KEYS least hashes) of a whole text's
+    shingles; all zero for a text without words. Each of the KEYS is least by its own hash."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, np.zeros(WORDS, np.uint64), np.zeros(KEYS, np.uint64)
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    ones, least = np.zeros(64 * WORDS, np.int64), np.full(KEYS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, n, 1 << 14):
+        part = words[at : min(at + (1 << 14), n) + shingle - 1]
+        joined = map(b" ".join, zip(*[part[k:] for k in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
+        h = np.array([digest(s, 42) for s in joined], np.uint64)
+        for k in range(KEYS):
+            least[k] = min(least[k], _mixed(h, WORDS + k).min())
+        for a in range(0, len(h), 255):  # so many ones fit into a byte
+            bits = np.stack([_mixed(h[a : a + 255], k) for k in range(WORDS)], axis=1)
+            ones += np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    fp = np.packbits(2 * ones > n, bitorder="little").view("<u8")
+    return xxhash.xxh64_intdigest(b" ".join(words), 43), fp, least
+
+
+def _radius(similarity: float, bits: int, sigmas: float) -> int:
+    """Differing bits that texts of this shingle similarity (Jaccard) have at most, but for so many
+    standard deviations: the angle between two sets of one size is arccos(2 s / (1 + s))."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
+
+
+def copy_links(classes: DataFrame, similarity: float = 0.8, piece: int = PIECE, leaders: int = LEADERS) -> DataFrame:
+    """Edges (a, b) between the classes (same, f0.., k0..) whose long fingerprints are near enough.
+
+    A shard is what has one of its KEYS in common: texts of similarity s share each with chance s. Its
+    BK-tree is searched by the fingerprint's first word, and what is found is compared by all words.
+    A shard of more than `piece` rows is cut into pieces by hash, each with the same few leaders, so
+    that the work stays in proportion to the rows and groups of near copies still hang together.
+    """
+    first, whole = _radius(similarity, 64, 2.5), _radius(similarity, 64 * WORDS, 2.0)
+    fs = [f"f{k}" for k in range(WORDS)]
+    keyed = classes.select("same", *fs, F.explode(F.array_distinct(F.array(*[f"k{k}" for k in range(KEYS)]))).alias("shard"))
+    # a shard of one row has no link, so most rows stop here
+    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    spread = keyed.join(sizes, "shard").withColumn("pieces", F.ceil(F.col("n") / F.lit(piece)).cast("int"))
+    lead = (F.col("pieces") > 1) & (F.pmod(F.xxhash64("same", F.lit(1)), F.col("n")) < leaders)
+    own = F.pmod(F.xxhash64("same", "shard"), F.col("pieces").cast("long")).cast("int")
+    spread = spread.select("same", *fs, "shard", F.explode(F.when(lead, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(own))).alias("piece"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        same, shard, part = (t.column(c).to_numpy() for c in ("same", "shard", "piece"))
+        fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)
+        order = np.lexsort((part, shard))
+        same, fps, shard, part = same[order], fps[order], shard[order], part[order]
+        name = np.cumsum(np.r_[True, (np.diff(shard) != 0) | (np.diff(part) != 0)]) - 1
+        begin = np.r_[np.flatnonzero(np.r_[True, np.diff(name) != 0]), len(name)]
+        pairs = np.cumsum(np.diff(begin).astype(np.int64) ** 2)
+        at = 0
+        while at < len(pairs):
+            done = int(pairs[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(pairs, done + SLICE, "right")))
+            lo, hi = int(begin[at]), int(begin[to])
+            f, s = fps[lo:hi], same[lo:hi]
+            q, n = Forest(name[lo:hi], f[:, 0]).search(name[lo:hi], f[:, 0], first)
+            q, n = q[q < n], n[q < n]
+            apart = np.zeros(len(q), np.int64)
+            for k in range(WORDS):
+                apart += np.bitwise_count(f[q, k] ^ f[n, k])
+            near = (apart <= whole) & (s[q] != s[n])
+            a, b = spanning_forest(s[q[near]], s[n[near]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+            at = to
+
+    return spread.repartition("shard", "piece").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id and component_id, the least doc_id reachable over links between
+    texts whose word shingles are about as similar as `similarity` or more.
+
+    Similarity is judged by a SimHash of 512 bits: of texts at the limit itself about one in forty is
+    missed, and what is linked is at least about 0.1 below it. Texts of equal words are one class,
+    whatever their number. Null texts, empty ids, repeated rows, other columns and empty tables go
+    as in near_duplicates.
+    """
+    names = ["doc_id", "same", *[f"f{k}" for k in range(WORDS)], *[f"k{k}" for k in range(KEYS)]]
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                made = [long_fingerprint(x.as_py(), shingle) for x in some.column(1)]
+                rows = np.array([np.r_[np.uint64(s), f, k] for s, f, k in made], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(rows[:, k]) for k in range(rows.shape[1])]], schema=schema)
+
+    short_batches(docs.sparkSession)
+    keys = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = materialize(keys.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "long-fingerprints")
+    # equal within a class
+    classes = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in names[2:]]), "classes")
+    roots = components(copy_links(classes, similarity)).withColumnRenamed("node", "same")
+    linked = classes.select("same", "least").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = linked.join(least, "root").select("same", "component_id")
+    return prints.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")

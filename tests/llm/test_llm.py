@@ -154,6 +154,50 @@ def test_links_lose_nothing(spark, shard_size):
     assert all((got[a] == got[b]) == (label[a] == label[b]) for a in range(len(fps)) for b in range(a))
 
 
+def jaccard(a, b):
+    x, y = (({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies(spark, docs, empty):
+    rng = np.random.default_rng(5)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, int(n))] for n in rng.integers(60, 900, 25)]
+    ts = [" ".join(w) for w in base]
+    for w in base:
+        for edits in (1, 2, len(w) // 60, len(w) // 8):
+            other = list(w)
+            for at in rng.integers(0, len(w), edits):
+                other[at] = "new"
+            ts.append(" ".join(other))
+    ts.append(ts[0] + " " + " ".join(base[1]) + " " + " ".join(base[2]))
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    near = [(a, b, jaccard(ts[a], ts[b])) for a in range(len(ts)) for b in range(a)]
+    assert all(got[a] == got[b] for a, b, j in near if j >= 0.83)
+    apart = components(len(ts), [(a, b) for a, b, j in near if j >= 0.55])
+    assert all(apart[a] == apart[b] for a in range(len(ts)) for b in range(a) if got[a] == got[b])
+    # odd rows: equal words are one group, each row is returned, a null id never is the least
+    odd = [(r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect()]
+    assert len(odd) == docs.count() and (None, 0) in odd and (60, 0) in odd and (64, 63) in odd and (900, 63) in odd
+    assert simhash.near_copies(empty).count() == 0
+
+
+def test_large_group_of_near_copies_hangs_together(spark):
+    rng = np.random.default_rng(6)
+    base, ts = [f"w{x}" for x in range(200)], []
+    for _ in range(400):
+        other = list(base)
+        other[int(rng.integers(200))] = f"n{rng.integers(1 << 30)}"
+        ts.append(" ".join(other))
+    names = ", ".join(["same long", *[f"f{k} long" for k in range(simhash.WORDS)], *[f"k{k} long" for k in range(simhash.KEYS)]])
+    made = [simhash.long_fingerprint(t) for t in ts]
+    rows = [tuple(np.r_[np.uint64(s), f, k].astype(np.uint64).view(np.int64).tolist()) for s, f, k in made]
+    edges = simhash.copy_links(spark.createDataFrame(rows, names), piece=40, leaders=16)
+    assert edges.count() <= 6 * 12 * 60
+    root = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert len({root.get(r[0], r[0]) for r in rows}) == 1
+
+
 def test_quality(docs, empty):
     import re
 
