@@ -22,7 +22,7 @@ _CONTROL = r"(\\|###|</turn>)"
 _ESCAPED = r"\\(\\|###|</turn>)"
 _ROLE_CONTROL = r"(\\|###|</turn>|:|\n)"
 _ROLE_ESCAPED = r"\\(\\|###|</turn>|:|\n)"
-_TURN = r"(?s)\A### ((?:[^\\:]|\\(?:\\|###|</turn>|:|\n))*): (.*)\z"
+_TURN = r"(?s)\A### ((?:[^\\:]|\\(?:\\|###|</turn>|:|\n))*+): (.*)\z"
 
 
 def escape(text: Column) -> Column:

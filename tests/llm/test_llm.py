@@ -249,7 +249,7 @@ def test_tree_rejects_by_purity(spark):
 
 
 def test_chat(spark):
-    nasty = [r"\### Assistant: </turn> ok", "a </turn>\n### user: b", "\\\\", "ends \\", "#####", "", "x\ny", "é</turn>", " </turn>"]
+    nasty = [r"\### Assistant: </turn> ok", "a </turn>\n### user: b", "\\\\", "ends \\", "#####", "", "x\ny", "é</turn>", " </turn>", "a </turn>\n### " + "b" * 300_000 + ": ###"]
     rows = [(k, n, "user" if n % 2 else "assistant", t) for k in range(3) for n, t in enumerate(nasty)] + [(7, None, None, None), (7, 1, "a:b\n", "x"), (None, 0, "system", "s"), (8, 1, "user", "b"), (8, 1, "user", "a"), (8, 1, "user", "a")]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     for r in chat.digests(out).collect():
