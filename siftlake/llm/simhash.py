@@ -9,6 +9,9 @@ replaces a broadcast of all trees, whose size would grow with the corpus.
 
 A shard gives a spanning forest of its links instead of all of them, and components follow by
 alternating large-star and small-star steps over the forests' edges.
+
+near_copies links texts of a given shingle similarity, which differ in more bits than blocks can
+shard: there, shards are the texts that share a least shingle hash.
 """
 
 from __future__ import annotations
@@ -325,10 +328,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id and component_id, the least doc_id reachable over links between
     texts whose word shingles are about as similar as `similarity` or more.
 
-    Similarity is judged by a SimHash of 512 bits: of texts at the limit itself about one in forty is
-    missed, and what is linked is at least about 0.1 below it. Texts of equal words are one class,
-    whatever their number. Null texts, empty ids, repeated rows, other columns and empty tables go
-    as in near_duplicates.
+    Similarity is estimated by a SimHash of 512 bits: of pairs at the limit itself about one in forty
+    is missed, and pairs that are down to about 0.15 below it can be linked. Texts of equal words are
+    one class, whatever their number. Null texts and ids, repeated rows, other columns and empty
+    tables go as in near_duplicates.
     """
     names = ["doc_id", "same", *[f"f{k}" for k in range(WORDS)], *[f"k{k}" for k in range(KEYS)]]
     schema = pa.schema([(c, pa.int64()) for c in names])
