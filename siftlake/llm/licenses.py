@@ -3,6 +3,9 @@
 Texts are cut into sentences; a sentence, normalised to lower-case words, is looked up among known
 licence sentences; the identifiers that a text shows, in order, are matched against the rules, longest
 first, each match using up its identifiers. All of it stays in the row: no shuffle.
+
+A sentence ends at its punctuation or at a line without letters and digits. Any other line feed may
+end it or be a wrap within it: runs of lines are looked up, the longest first.
 """
 
 from __future__ import annotations
@@ -56,38 +59,102 @@ RULES = [
     ("all-rights-reserved", ["all-rights"]),
 ]
 
-#: Every known sentence has one of these, so a text or sentence without them is passed over.
+#: Triggers of SENTENCES, which with RULES are the table of the registered SQL.
 TRIGGERS = ("licens", "permission", "permitted", "warranty", "free software", "copyright")
 
+#: What is known by default: the sentences above, and the whole ones of the licences' own texts.
+KNOWN = SENTENCES | {
+    "all-rights-plain": "All rights reserved",
+    "mit-grant-whole": SENTENCES["mit-grant"] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "as-is-whole": SENTENCES["as-is"] + ", EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+    "apache-2-whole": "Licensed under the Apache License, Version 2.0 (the \"License\")",
+    "apache-2-copy-whole": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "gpl-2-or-later-whole": SENTENCES["gpl-redistribute"] + ", either version 2 of the License, or (at your option) any later version",
+    "gpl-2-or-later": "either version 2 of the License, or (at your option) any later version",
+    "gpl-3-or-later-whole": SENTENCES["gpl-redistribute"] + ", " + SENTENCES["gpl-3-or-later"],
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+}
+
+_BSD = ["bsd-redistribution", "bsd-source", "bsd-binary"]
+_MIT = [[grant, "mit-notice", as_is] for grant in ("mit-grant-whole", "mit-grant") for as_is in ("as-is-whole", "as-is")]
+#: Rules over KNOWN, in order of trial. A BSD text's own "All rights reserved" is part of it.
+KNOWN_RULES = [
+    ("BSD-3-Clause", ["all-rights-plain", *_BSD, "bsd-endorse"]),
+    ("BSD-3-Clause", [*_BSD, "bsd-endorse"]),
+    ("BSD-2-Clause", ["all-rights-plain", *_BSD]),
+    ("BSD-2-Clause", _BSD),
+    *[("MIT", ids) for ids in _MIT],
+    *[("Apache-2.0", [short, "apache-2-use", copy]) for short in ("apache-2-whole", "apache-2-short") for copy in ("apache-2-copy-whole", "apache-2-copy")],
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-3-or-later-whole"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl-2-or-later-whole"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl-redistribute", "gpl-2-or-later"]),
+    *[rule for rule in RULES if len(rule[1]) > 1 and rule[0] not in ("MIT", "Apache-2.0")],
+    ("GPL-3.0-or-later", ["gpl-3-or-later-whole"]),
+    ("GPL-2.0-or-later", ["gpl-2-or-later-whole"]),
+    ("MIT", ["mit-grant-whole"]),
+    ("Apache-2.0", ["apache-2-whole"]),
+    *[rule for rule in RULES if len(rule[1]) == 1],
+    ("all-rights-reserved", ["all-rights-plain"]),
+]
+
 END = r"([.;:!?])[ \t\r]+"
+#: Where no sentence goes on: white space after its punctuation, or lines without letters and digits.
+_HARD = r"(?<=[.;:!?])[ \t\r\n]+|\n[^a-z0-9]*\n"
 
 
 def normalise(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip()
 
 
-def _check(sentences: dict[str, str], rules: list[tuple[str, list[str]]], triggers: tuple[str, ...]) -> None:
+def _check(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> None:
     for name, text in sentences.items():
-        if not any(t in text.lower() for t in triggers) or re.search(END, text) or "," in name:
-            raise ValueError(f"sentence {name} has no trigger, or is more than a sentence")
+        if not normalise(text) or re.search(END, text) or "," in name:
+            raise ValueError(f"sentence {name} has no word, or is more than a sentence")
     if unknown := {x for _, ids in rules for x in ids} - set(sentences):
         raise ValueError(f"rules name unknown sentences: {sorted(unknown)}")
 
 
+def triggers(sentences: dict[str, str]) -> list[str]:
+    """Parts of words such that every sentence has one of them, so a text without them is passed over."""
+    held = [t for t in TRIGGERS if " " not in t]  # a wrapped line can end within the others
+    for s in map(normalise, sentences.values()):
+        if not any(t in s for t in held):
+            held.append(max(s.split(), key=len))
+    return held
+
+
 def recognise(text: Column, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (normalise(s), name)])
+    plain = {normalise(s): name for name, s in sentences.items()}
+    known = F.create_map(*[F.lit(x) for pair in plain.items() for x in pair])
+    most = max(len(s.split()) for s in plain)  # every line has a word, so no run is of more lines
+    held = triggers(sentences)
     low = ascii_lower(text)
-    cut = F.split(F.regexp_replace(low, END, "$1\n"), "\n", -1)
-    may = F.filter(cut, lambda s: _any(s))
-    plain = F.transform(may, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(plain, lambda s: known[s]), lambda x: x.isNotNull())
-    return F.when(_any(low), ids).otherwise(F.array().cast("array<string>"))
-
-
-def _any(s: Column) -> Column:
-    found = s.contains(TRIGGERS[0])
-    for t in TRIGGERS[1:]:
+    none = F.array().cast("array<string>")
+
+    def runs(lines: Column) -> Column:
+        def at(i: Column) -> Column:
+            line = F.get(lines, i)
+            begins = F.exists(F.array(*map(F.lit, plain)), lambda s: (s == line) | s.startswith(F.concat(line, F.lit(" "))))
+            ends = F.sequence(F.least(F.lit(most), F.size(lines) - i), F.lit(1), F.lit(-1))
+            tried = F.transform(ends, lambda n: F.struct(known[F.array_join(F.slice(lines, i + 1, n), " ")].alias("id"), (i + n).alias("to")))
+            return F.when(begins, F.get(F.filter(tried, lambda x: x["id"].isNotNull()), F.lit(0)))
+
+        starts = F.filter(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.struct(i.alias("at"), at(i).alias("run"))), lambda x: x["run"].isNotNull())
+        begin = F.struct(F.lit(0).alias("to"), none.alias("ids"))
+        # a line within a longer run is not looked at again
+        return F.aggregate(starts, begin, lambda a, x: F.when(x["at"] >= a["to"], F.struct(x["run"]["to"].alias("to"), F.array_append(a["ids"], x["run"]["id"]).alias("ids"))).otherwise(a), lambda a: a["ids"])
+
+    may = F.filter(F.split(low, _HARD, -1), lambda s: _any(s, held))
+    lines = F.transform(may, lambda s: F.filter(F.transform(F.split(s, "\n", -1), lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))), lambda x: x != ""))
+    ids = F.flatten(F.transform(F.filter(lines, lambda x: F.size(x) > 0), runs))
+    return F.when(_any(low, held), ids).otherwise(none)
+
+
+def _any(s: Column, held: list[str]) -> Column:
+    found = s.contains(held[0])
+    for t in held[1:]:
         found = found | s.contains(t)
     return found
 
@@ -106,8 +173,8 @@ def license_scan(
     each returned; other columns aren't read; an empty table gives no rows. A text of any length is
     scanned whole.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    _check(sentences, rules, TRIGGERS)
+    sentences, rules = sentences or KNOWN, rules or (RULES if sentences else KNOWN_RULES)
+    _check(sentences, rules)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = stage(docs.select(F.col(id_col).alias("doc_id"), text.alias("__text")), sentence_ids=recognise(F.col("__text"), sentences))
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{x}>" for x in ids)).alias("ids")) for name, ids in rules])

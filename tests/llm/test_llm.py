@@ -233,6 +233,60 @@ def test_licenses(spark, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_true_license_texts(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software"""
+    bsd = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+    bsd3 = bsd + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version %d of the License, or
+ * (at your option) any later version.
+ *"""
+    want = [(mit, ["MIT"]), (apache, ["Apache-2.0"]), (bsd, ["BSD-2-Clause"]), (bsd3, ["BSD-3-Clause"]), (gpl % 3, ["GPL-3.0-or-later"]), (gpl % 2, ["GPL-2.0-or-later"]), ("A page. All rights reserved.", ["all-rights-reserved"]), ("all rights\r\nreserved", ["all-rights-reserved"]), ("all rights. reserved all rights\n\nreserved", []), ("a line\nLicensed under\nCC BY 4.0\nmore", ["CC-BY-4.0"])]
+    want += [(t.replace("\n", "\r\n"), found) for t, found in want[:6]]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(df).collect()}
+    assert [got[k] for k in range(len(want))] == [found for _, found in want]
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/1"), (2, "https://www.example.com/en/x?q"), (3, "http://x.net/es/1#a"), (4, "http://x.net/en/1"), (5, None), (6, "no scheme"), (7, "http://b.com"), (8, "http://b.com/"), (None, "http://x.net/fr/2"), (1, "http://A.example.com/en/1")]
     got = {(r.page_id, r.host): (r.path, r.rule, r.verdict) for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
