@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Words of 64 bits in a long fingerprint, and least shingles taken as a text's shards.
 WORDS, KEYS = 8, 6
-#: Rows of a shard that are searched against one another; a larger shard is cut into such pieces.
+#: Rows of a shard that a task searches against one another; a larger shard is cut into such pieces,
+#: and the pieces are compared two by two.
 PIECE, LEADERS = 1024, 32
 #: Pairs that one slice of a partition's pieces may have.
 SLICE = 1 << 22
@@ -280,17 +281,18 @@ def copy_links(classes: DataFrame, similarity: float = 0.8, piece: int = PIECE,
     A shard is what has one of its KEYS in common: texts of similarity s share each with chance s. Its
     BK-tree is searched by the fingerprint's first word, and what is found is compared by all words.
     A shard of more than `piece` rows is cut into pieces by hash, each with the same few leaders, so
-    that the work stays in proportion to the rows and groups of near copies still hang together.
+    that most of a group of near copies hangs together at once. Then any two pieces of a shard are
+    compared row by row, but for rows that hang together already: no pair of a shard is left out.
     """
     first, whole = _radius(similarity, 64, 2.5), _radius(similarity, 64 * WORDS, 2.0)
     fs = [f"f{k}" for k in range(WORDS)]
     keyed = classes.select("same", *fs, F.explode(F.array_distinct(F.array(*[f"k{k}" for k in range(KEYS)]))).alias("shard"))
     # a shard of one row has no link, so most rows stop here
     sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    spread = keyed.join(sizes, "shard").withColumn("pieces", F.ceil(F.col("n") / F.lit(piece)).cast("int"))
+    sized = keyed.join(sizes, "shard").withColumn("pieces", F.ceil(F.col("n") / F.lit(piece)).cast("int"))
     lead = (F.col("pieces") > 1) & (F.pmod(F.xxhash64("same", F.lit(1)), F.col("n")) < leaders)
     own = F.pmod(F.xxhash64("same", "shard"), F.col("pieces").cast("long")).cast("int")
-    spread = spread.select("same", *fs, "shard", F.explode(F.when(lead, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(own))).alias("piece"))
+    spread = sized.select("same", *fs, "shard", F.explode(F.when(lead, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(own))).alias("piece"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +323,49 @@ def copy_links(classes: DataFrame, similarity: float = 0.8, piece: int = PIECE,
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
             at = to
 
-    return spread.repartition("shard", "piece").mapInArrow(run, "a long, b long")
+    inside = materialize(spread.repartition("shard", "piece").mapInArrow(run, "a long, b long"), "piece-links")
+    large = materialize(sized.where("pieces > 1").select("same", *fs, "shard", "pieces", own.alias("own")), "large-shards")
+    if large.isEmpty():
+        return inside
+    roots = components(inside).withColumnRenamed("node", "same")
+    rooted = large.join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    return inside.unionByName(_across(rooted, fs, first, whole))
+
+
+def _across(rows: DataFrame, fs: list[str], first: int, whole: int) -> DataFrame:
+    """Edges (a, b) between the roots of near rows (same, f0.., shard, pieces, own, root) that are in
+    two pieces of a shard. A task holds the two pieces only, so a large shard has many tasks."""
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
+    pairs = rows.select("root", *fs, "shard", "own", other).where("own <> other")
+    pairs = pairs.select("root", *fs, "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") < F.col("other")).alias("side"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        root, shard, low, high, side = (t.column(c).to_numpy() for c in ("root", "shard", "low", "high", "side"))
+        fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)
+        order = np.lexsort((high, low, shard))
+        new = (np.diff(shard[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        for group in np.split(order, np.flatnonzero(new) + 1):
+            x, y = group[side[group]], group[~side[group]]
+            ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            step = max(1, SLICE // max(1, len(y)))
+            for at in range(0, len(x), step):
+                some = x[at : at + step]
+                i, j = np.nonzero((np.bitwise_count(fps[some, :1] ^ fps[y, 0]) <= first) & (root[some, None] != root[y]))
+                i, j = some[i], y[j]
+                apart = np.zeros(len(i), np.int64)
+                for k in range(WORDS):
+                    apart += np.bitwise_count(fps[i, k] ^ fps[j, k])
+                ends[0].append(root[i[apart <= whole]])
+                ends[1].append(root[j[apart <= whole]])
+            a, b = spanning_forest(np.concatenate(ends[0]), np.concatenate(ends[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    return pairs.repartition("shard", "low", "high").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -198,6 +198,25 @@ def test_large_group_of_near_copies_hangs_together(spark):
     assert len({root.get(r[0], r[0]) for r in rows}) == 1
 
 
+def test_pairs_within_a_frequent_passage(spark):
+    rng = np.random.default_rng(8)
+    passage, ts = [f"p{x}" for x in range(150)], []
+    for k in range(300):
+        own = [f"o{k}w{x}" for x in range(150)]
+        ts.append(" ".join(passage + own))
+        if k % 10 == 0:
+            ts.append(" ".join(passage + own[:-8] + [f"e{x}" for x in rng.integers(1 << 30, size=8)]))
+    names = ", ".join(["same long", *[f"f{k} long" for k in range(simhash.WORDS)], *[f"k{k} long" for k in range(simhash.KEYS)]])
+    # all of the least shingles are in the passage
+    made = [(s, f) for s, f, _ in map(simhash.long_fingerprint, ts)]
+    rows = [tuple(np.r_[np.uint64(s), f, np.arange(simhash.KEYS, dtype=np.uint64)].astype(np.uint64).view(np.int64).tolist()) for s, f in made]
+    edges = simhash.copy_links(spark.createDataFrame(rows, names), piece=20, leaders=2)
+    root = {r.node: r.root for r in simhash.components(edges).collect()}
+    got = [root.get(r[0], r[0]) for r in rows]
+    label = components(len(ts), [(a + 1, a) for a in range(len(ts) - 1) if jaccard(ts[a], ts[a + 1]) >= 0.8])
+    assert len(ts) - len(set(label)) == 30 and all((got[a] == got[b]) == (label[a] == label[b]) for a in range(len(ts)) for b in range(a))
+
+
 def test_quality(docs, empty):
     import re
 
