@@ -1,9 +1,10 @@
 """URL filtering by rules and, where none fits, by a path-template tree.
 
 Per host, the segments of a path form a tree. Digits and long hexadecimal runs in a segment become
-wildcards at once. Going down level by level, a branch is merged into the wildcard branch of its
-parent if the parent has too many branches, or if the branch has labels and their block rate doesn't
-differ significantly from the parent's. A template is rejected if its labelled purity, the share of
+wildcards at once. Going down level by level to the last segment, a branch is merged into the wildcard
+branch of its parent if it has labels and their block rate doesn't differ significantly from the
+parent's. Branches without labels never join those with labels; where there are many branches they
+are merged with one another, which leaves their verdict as it is. A template is rejected if its labelled purity, the share of
 block labels smoothed towards the global share, is over a half. Labels are the rules' own verdicts,
 unless a label column is given.
 
@@ -12,6 +13,8 @@ Pages are first counted by distinct generalised path; the tree works on that sma
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,9 @@ from siftlake.llm._shared import UPPER, materialize
 #: Verdict and rule; a rule is a host, then the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
+#: Segments that the registered SQL goes down; the operator goes down to the last.
 DEPTH = 3
+#: With more branches than these, those without labels are one branch.
 MAX_CHILDREN = 20
 #: Standard errors within which a branch's block rate equals its parent's.
 Z = 1.96
@@ -45,29 +50,41 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _segments(path: Column, depth: int) -> dict[str, Column]:
+def _general(path: Column) -> Column:
+    """The path's segments with wildcards, joined by /."""
     general = F.regexp_replace(F.regexp_replace(path, "[0-9a-f]{12,}", "{h}"), "[0-9]+", "{n}")
-    parts = F.filter(F.split(general, "/", -1), lambda x: x != "")
-    out = {f"s{d}": F.coalesce(F.get(parts, F.lit(d - 1)), F.lit("")) for d in range(1, depth + 1)}
-    return out | {"rest": F.when(F.size(parts) > depth, F.lit("/**")).otherwise(F.lit(""))}
+    return F.array_join(F.filter(F.split(general, "/", -1), lambda x: x != ""), "/")
 
 
-def templates(counted: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, z: float = Z, prior: float = PRIOR) -> DataFrame:
-    """counted (host, s1.., rest, lab, blk) with template, purity and verdict."""
+def templates(counted: DataFrame, max_children: int = MAX_CHILDREN, z: float = Z, prior: float = PRIOR) -> DataFrame:
+    """counted (host, general, lab, blk) with template, purity and judged."""
     total = counted.agg(F.sum("lab"), F.sum("blk")).first()
     share = total[1] / total[0] if total[0] else 0.0
-    t = counted.withColumn("template", F.lit(""))
-    for d in range(1, depth + 1):
-        s = f"s{d}"
-        kids = t.groupBy("host", "template", s).agg(F.sum("lab").alias("c_lab"), F.sum("blk").alias("c_blk"))
-        whole = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("c_lab").alias("p_lab"), F.sum("c_blk").alias("p_blk"))
+    names = counted.columns
+    parts = F.when(F.col("general") == "", F.array().cast("array<string>")).otherwise(F.split("general", "/", -1))
+    t = counted.withColumns({"parts": parts, "template": F.lit("")})
+    ready, d = [], 0
+    while True:
+        t = t.withColumn("s", F.coalesce(F.get("parts", F.lit(d)), F.lit("")))
+        kids = t.groupBy("host", "template", "s").agg(F.sum("lab").alias("c_lab"), F.sum("blk").alias("c_blk"), F.count(F.lit(1)).alias("rows"))
+        whole = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("c_lab").alias("p_lab"), F.sum("c_blk").alias("p_blk"), F.sum("rows").alias("p_rows"))
         both = kids.join(whole, ["host", "template"])
         p, q = F.col("c_blk") / F.nullif("c_lab", F.lit(0)), F.col("p_blk") / F.nullif("p_lab", F.lit(0))
         alike = F.coalesce(F.abs(p - q) <= F.lit(z) * F.sqrt(q * (1 - q) / F.col("c_lab")), F.lit(False))
-        merged = (F.col(s) != "") & ((F.col("kids") > max_children) | alike)
-        step = both.select("host", "template", s, F.when(F.col(s) == "", F.lit("")).when(merged, F.lit("/*")).otherwise(F.concat(F.lit("/"), s)).alias("step"))
-        t = t.join(step, ["host", "template", s]).withColumn("template", F.concat("template", "step")).drop("step")
-    t = materialize(t.withColumn("template", F.concat("template", "rest")), "templates")
+        step = F.when(F.col("s") == "", F.lit("")).when(alike, F.lit("/*"))
+        # no segment has a ?
+        step = step.when((F.col("c_lab") == 0) & (F.col("kids") > max_children), F.lit("/?")).otherwise(F.concat(F.lit("/"), "s"))
+        t = t.join(both.select("host", "template", "s", step.alias("step"), "p_rows"), ["host", "template", "s"])
+        # a path alone in its branch has no more to be compared with: its own rate is its parent's
+        rest = F.slice("parts", d + 1, F.greatest(F.size("parts") - d, F.lit(0)))
+        alone = F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), F.when(F.col("lab") > 0, F.lit("*")).otherwise(x))), "")
+        t = t.withColumn("template", F.concat("template", F.when(F.col("p_rows") == 1, alone).otherwise(F.col("step"))))
+        t = materialize(t.select(*names, "parts", "template", ((F.col("p_rows") == 1) | (F.size("parts") <= d)).alias("over")), "level")
+        ready.append(t.where("over").select(*names, "template"))
+        t, d = t.where(~F.col("over")), d + 1
+        if t.isEmpty():
+            break
+    t = materialize(reduce(DataFrame.unionByName, ready), "templates")
     pure = t.groupBy("host", "template").agg(((F.sum("blk") + F.lit(prior * share)) / (F.sum("lab") + F.lit(prior))).alias("purity"))
     return t.join(pure, ["host", "template"]).withColumn("judged", F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
 
@@ -80,14 +97,13 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     returned and counted, other columns aren't read, an empty table gives no rows. The tree's table
     is broadcast if it has at most broadcast_rows rows, and joined by a shuffle otherwise.
     """
-    depth = how.get("depth", DEPTH)
     host, path = split_url(F.col(url_col))
     label = F.col(label_col).cast("boolean") if label_col else F.lit(None).cast("boolean")
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), label.alias("label"))
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("label", F.coalesce("label", F.col("found.verdict") == "block") if label_col else F.col("found.verdict") == "block")
-    keys = ["host", *[f"s{d}" for d in range(1, depth + 1)], "rest"]
-    rows = rows.withColumns(_segments(F.col("path"), depth))
+    keys = ["host", "general"]
+    rows = rows.withColumn("general", _general(F.col("path")))
     counted = rows.groupBy(*keys).agg(F.count("label").alias("lab"), F.count_if(F.col("label")).alias("blk"))
     judged = materialize(templates(materialize(counted, "paths"), **how).select(*keys, "template", "judged"), "verdicts")
     judged = F.broadcast(judged) if judged.count() <= broadcast_rows else judged

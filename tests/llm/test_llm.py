@@ -321,6 +321,21 @@ def test_tree_rejects_by_purity(spark):
     assert got[200] == "block" and got[201] == "allow"
 
 
+def test_labelled_branches_stay_apart_at_any_fan_out(spark):
+    rows = [(k, f"http://a.com/x/{k}") for k in range(200)] + [(1000 + k, f"http://x.net/{x}/{k}") for k in range(30) for x in ("es", "fr")]
+    rows += [(2000 + k, f"http://x.net/{chr(97 + k)}{chr(97 + k)}/{k}") for k in range(25)]
+    got = {r.page_id: (r.verdict, r.template) for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[2000 + k][0] == "allow" and got[2000 + k][1] not in (got[1000][1], got[1001][1]) for k in range(25))
+    assert len({got[2000 + k][1] for k in range(25)}) == 1
+
+
+def test_tree_goes_down_to_the_last_segment(spark):
+    rows = [(k, f"http://h.org/a/b/c/d/{'bad' if k % 2 else 'good'}/{k}", bool(k % 2)) for k in range(60)]
+    rows += [(200, "http://h.org/a/b/c/d/bad/999", None), (201, "http://h.org/a/b/c/d/good/999", None), (202, "http://h.org/" + "t/" * 30 + "x", None), (203, "http://h.org/a/b/c", None)]
+    got = {r.page_id: (r.verdict, r.template) for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, label boolean"), label_col="label").collect()}
+    assert got[200][0] == "block" and got[201][0] == "allow" and got[200][1] != got[201][1] and got[202][1] == "/t" * 30 + "/x"
+
+
 def test_chat(spark):
     nasty = [r"\### Assistant: </turn> ok", "a </turn>\n### user: b", "\\\\", "ends \\", "#####", "", "x\ny", "é</turn>", " </turn>", "a </turn>\n### " + "b" * 300_000 + ": ###"]
     rows = [(k, n, "user" if n % 2 else "assistant", t) for k in range(3) for n, t in enumerate(nasty)] + [(7, None, None, None), (7, 1, "a:b\n", "x"), (None, 0, "system", "s"), (8, 1, "user", "b"), (8, 1, "user", "a"), (8, 1, "user", "a")]
