@@ -326,8 +326,8 @@ def git_diff_lines(spark, sf_dir):
 
 @query()
 def decode_chain(spark, sf_dir):
-    """Decoded variants, three levels deep, of the documents."""
-    return decode.chain(_docs(spark, sf_dir), 3).where("depth > 0").select("path", "encoding", "depth", F.sha2("content", 256).alias("sha256"))
+    """Decoded variants, to the full depth of decode.chain, of the documents."""
+    return decode.chain(_docs(spark, sf_dir)).where("depth > 0").select("path", "encoding", "depth", F.sha2("content", 256).alias("sha256"))
 
 
 @query(f"SELECT path, CAST(count(*) AS BIGINT) AS n_vars FROM (SELECT DISTINCT path, regexp_extract(line, {O.q(extract.VARIABLE)}, 1) AS var FROM ({_LINES})) WHERE var <> '' GROUP BY path")

@@ -124,6 +124,19 @@ def test_decode(spark):
     assert one(spark, decode.utf16(F.unhex(F.lit("FFFE61006200"))), a=1) == "ab"
 
 
+def test_decode_chain_query_goes_five_levels_deep(spark, tmp_path):
+    import base64
+
+    from siftlake.plans import catalog
+
+    text = "api_key=abcdefgh1234"
+    for _ in range(5):
+        text = "token=" + base64.b64encode(text.encode()).decode()
+    spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["decode_chain"](spark, str(tmp_path)).collect()
+    assert {r.depth for r in got} == {1, 2, 3, 4, 5}
+
+
 def test_sources(spark, tmp_path):
     z, t = io.BytesIO(), io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
