@@ -233,6 +233,8 @@ WORDS, KEYS = 8, 6
 #: Rows of a shard that a task searches against one another; a larger shard is cut into such pieces,
 #: and the pieces are compared two by two.
 PIECE, LEADERS = 1024, 32
+#: Standard deviations of an estimate within which a pair is looked at.
+SIGMAS = 4.5
 #: Pairs that one slice of a partition's pieces may have.
 SLICE = 1 << 22
 
@@ -245,38 +247,45 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def long_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, np.ndarray, np.ndarray]:
-    """(hash of the word sequence, SimHash of WORDS x 64 bits, KEYS least hashes) of a whole text's
-    shingles; all zero for a text without words. Each of the KEYS is least by its own hash."""
+def shingle_set(text: str | None, shingle: int = 5) -> tuple[int, np.ndarray]:
+    """(hash of the word sequence, sorted hashes of its distinct shingles) of a whole text."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, np.zeros(WORDS, np.uint64), np.zeros(KEYS, np.uint64)
-    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
-    ones, least = np.zeros(64 * WORDS, np.int64), np.full(KEYS, np.iinfo(np.uint64).max, np.uint64)
+        return 0, np.zeros(0, np.uint64)
+    digest, n, found = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1), []
     for at in range(0, n, 1 << 14):
         part = words[at : min(at + (1 << 14), n) + shingle - 1]
         joined = map(b" ".join, zip(*[part[k:] for k in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
-        h = np.array([digest(s, 42) for s in joined], np.uint64)
-        for k in range(KEYS):
-            least[k] = min(least[k], _mixed(h, WORDS + k).min())
-        for a in range(0, len(h), 255):  # so many ones fit into a byte
-            bits = np.stack([_mixed(h[a : a + 255], k) for k in range(WORDS)], axis=1)
-            ones += np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    fp = np.packbits(2 * ones > n, bitorder="little").view("<u8")
-    return xxhash.xxh64_intdigest(b" ".join(words), 43), fp, least
+        found.append(np.unique(np.array([digest(s, 42) for s in joined], np.uint64)))
+    return digest(b" ".join(words), 43), np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+
+
+def long_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, np.ndarray, np.ndarray]:
+    """(hash of the word sequence, SimHash of WORDS x 64 bits, KEYS least hashes) of a whole text's
+    distinct shingles; all zero for a text without words. Each of the KEYS is least by its own hash."""
+    same, h = shingle_set(text, shingle)
+    if not len(h):
+        return 0, np.zeros(WORDS, np.uint64), np.zeros(KEYS, np.uint64)
+    least = np.array([_mixed(h, WORDS + k).min() for k in range(KEYS)], np.uint64)
+    ones = np.zeros(64 * WORDS, np.int64)
+    for a in range(0, len(h), 255):  # so many ones fit into a byte
+        bits = np.stack([_mixed(h[a : a + 255], k) for k in range(WORDS)], axis=1)
+        ones += np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return same, np.packbits(2 * ones > len(h), bitorder="little").view("<u8"), least
 
 
 def _radius(similarity: float, bits: int, sigmas: float) -> int:
     """Differing bits that texts of this shingle similarity (Jaccard) have at most, but for so many
-    standard deviations: the angle between two sets of one size is arccos(2 s / (1 + s))."""
+    standard deviations: the angle between two sets is arccos(2 s / (1 + s)) at most."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
 
 
 def copy_links(classes: DataFrame, similarity: float = 0.8, piece: int = PIECE, leaders: int = LEADERS) -> DataFrame:
-    """Edges (a, b) between the classes (same, f0.., k0..) whose long fingerprints are near enough.
+    """Edges (a, b) between the classes (same, f0.., k0..) whose long fingerprints are near enough to be
+    looked at: every class of a pair at `similarity` has an edge, and they are in one component.
 
     A shard is what has one of its KEYS in common: texts of similarity s share each with chance s. Its
     BK-tree is searched by the fingerprint's first word, and what is found is compared by all words.
@@ -284,7 +293,7 @@ def copy_links(classes: DataFrame, similarity: float = 0.8, piece: int = PIECE,
     that most of a group of near copies hangs together at once. Then any two pieces of a shard are
     compared row by row, but for rows that hang together already: no pair of a shard is left out.
     """
-    first, whole = _radius(similarity, 64, 2.5), _radius(similarity, 64 * WORDS, 2.0)
+    first, whole = _radius(similarity, 64, SIGMAS), _radius(similarity, 64 * WORDS, SIGMAS)
     fs = [f"f{k}" for k in range(WORDS)]
     keyed = classes.select("same", *fs, F.explode(F.array_distinct(F.array(*[f"k{k}" for k in range(KEYS)]))).alias("shard"))
     # a shard of one row has no link, so most rows stop here
@@ -368,16 +377,81 @@ def _across(rows: DataFrame, fs: list[str], first: int, whole: int) -> DataFrame
     return pairs.repartition("shard", "low", "high").mapInArrow(run, "a long, b long")
 
 
+def _exact_links(fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (i, j) of sets with a Jaccard similarity of `similarity` or more, enough of them for the components."""
+    m, whole = len(sets), _radius(similarity, 64 * WORDS, SIGMAS)
+    size, at = np.array([len(x) for x in sets]), np.cumsum([0, *map(len, sets)])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label, links = np.zeros(len(values), bool), np.arange(m), []
+    for i in range(m - 1):
+        maybe = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        apart = np.bitwise_count(fps[maybe] ^ fps[i]).sum(axis=1, dtype=np.int64)
+        maybe = maybe[apart <= whole]
+        if not len(maybe):
+            continue
+        mine = flat[at[i] : at[i + 1]]
+        mark[mine] = True
+        if 4 * len(maybe) > m:
+            both = np.add.reduceat(mark[flat], at[:-1], dtype=np.int64)[maybe]
+        else:
+            both = np.array([np.count_nonzero(mark[flat[at[j] : at[j + 1]]]) for j in maybe])
+        mark[mine] = False
+        for j in maybe[both >= similarity * (size[maybe] + size[i] - both)]:
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return tuple(np.array(links, np.int64).reshape(-1, 2).T)
+
+
+def _verified(keys: DataFrame, prints: DataFrame, classes: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between classes of one candidate component (same, root) by their exact shingle sets,
+    which are made again from one text of each such class only."""
+    fs = [f"f{k}" for k in range(WORDS)]
+    # a root has no row of its own
+    members = roots.unionByName(roots.select(F.col("root").alias("same"), "root")).distinct()
+    one = prints.join(members, "same").groupBy("same", "root").agg(F.min(F.struct("doc_id", "txt")).alias("of"))
+    one = materialize(one.join(classes.select("same", *fs), "same").select("same", "root", *fs, F.col("of.doc_id").alias("of_id"), F.col("of.txt").alias("txt")), "candidates")
+    side = F.broadcast(one) if one.count() <= 200_000 else one
+    texts = keys.join(side, (keys["txt"] == side["txt"]) & keys["id"].eqNullSafe(side["of_id"])).select("root", "same", *fs, "text")
+    names = ["root", "same", *fs]
+    schema = pa.schema([*[(c, pa.int64()) for c in names], ("hashes", pa.large_binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                hashes = [shingle_set(x.as_py(), shingle)[1].tobytes() for x in some.column(len(names))]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(names)], pa.array(hashes, pa.large_binary())], schema=schema)
+
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        root, same = t.column("root").to_numpy(), t.column("same").to_numpy()
+        fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)
+        _, once = np.unique(same, return_index=True)  # a repeated row has its text again
+        order = once[np.argsort(root[once], kind="stable")]
+        for group in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            i, j = _exact_links(fps[group], [np.frombuffer(t.column("hashes")[int(k)].as_py(), np.uint64) for k in group], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(same[group[i]]), pa.array(same[group[j]])], schema=out)
+
+    made = texts.mapInArrow(sets, ", ".join([*[f"{c} long" for c in names], "hashes binary"]))
+    return made.repartition("root").mapInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document: doc_id and component_id, the least doc_id reachable over links between
-    texts whose word shingles are about as similar as `similarity` or more.
+    texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
-    Similarity is estimated by a SimHash of 512 bits: of pairs at the limit itself about one in forty
-    is missed, and pairs that are down to about 0.15 below it can be linked. Texts of equal words are
+    Pairs are found by least shingles and by a SimHash of 512 bits with a margin of SIGMAS standard
+    deviations, and linked by their exact sets only. Texts of equal words are
     one class, whatever their number. Null texts and ids, repeated rows, other columns and empty
     tables go as in near_duplicates.
     """
-    names = ["doc_id", "same", *[f"f{k}" for k in range(WORDS)], *[f"k{k}" for k in range(KEYS)]]
+    names = ["doc_id", "same", *[f"f{k}" for k in range(WORDS)], *[f"k{k}" for k in range(KEYS)], "txt"]
     schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,14 +460,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 some = batch.slice(at, ROWS)
                 made = [long_fingerprint(x.as_py(), shingle) for x in some.column(1)]
                 rows = np.array([np.r_[np.uint64(s), f, k] for s, f, k in made], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(rows[:, k]) for k in range(rows.shape[1])]], schema=schema)
+                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(rows[:, k]) for k in range(rows.shape[1])], some.column(2)], schema=schema)
 
     short_batches(docs.sparkSession)
     keys = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    keys = keys.withColumn("txt", F.xxhash64("text"))
     prints = materialize(keys.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "long-fingerprints")
     # equal within a class
-    classes = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in names[2:]]), "classes")
-    roots = components(copy_links(classes, similarity)).withColumnRenamed("node", "same")
+    classes = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in names[2:-1]]), "classes")
+    maybe = components(copy_links(classes, similarity)).withColumnRenamed("node", "same")
+    roots = components(_verified(keys, prints, classes, maybe, shingle, similarity)).withColumnRenamed("node", "same")
     linked = classes.select("same", "least").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select("same", "component_id")

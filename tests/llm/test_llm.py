@@ -217,6 +217,17 @@ def test_pairs_within_a_frequent_passage(spark):
     assert len(ts) - len(set(label)) == 30 and all((got[a] == got[b]) == (label[a] == label[b]) for a in range(len(ts)) for b in range(a))
 
 
+def test_near_copies_are_linked_by_their_exact_similarity(spark):
+    rng, ts = np.random.default_rng(9), []
+    for k in range(60):
+        w = [f"b{k}w{x}" for x in range(150)]
+        # runs of changed words: similarities from 0.9 to 0.6
+        ts += [" ".join(w), " ".join(w[: 150 - 4 - k // 2] + [f"n{x}" for x in rng.integers(1 << 30, size=4 + k // 2)])]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")).collect()}
+    wrong = [k for k in range(60) if (got[2 * k] == got[2 * k + 1]) != (jaccard(ts[2 * k], ts[2 * k + 1]) >= 0.8)]
+    assert not wrong
+
+
 def test_quality(docs, empty):
     import re
 
