@@ -23,12 +23,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from siftlake.llm._shared import short_batches
-from siftlake.llm.segments import encoder
+from siftlake.llm.segments import encoder, groups
 
 TIERS = (1024, 512, 256, 128)
-#: Rows of an Arrow batch that are taken into Python at a time.
-ROWS = 256
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -150,19 +147,19 @@ def pack(
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = 16_384,
     pool: int = 4096,
-    cached_words: int = 700_000,
+    cached_words: int = 400_000,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, with SCHEMA's columns.
 
     A null or empty text is the end id alone; a null id stays null; repeated rows are packed each by
     itself; other columns aren't read; an empty table gives no rows. Sequences have at most tiers[0]
-    tokens, and each length is a power of two. cached_words trades a worker's memory (about 400 bytes
+    tokens, and each length is a power of two. cached_words trades a worker's memory (about 40 bytes
     for each) for speed, and doesn't change the result.
     """
     schema = pa.schema([(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, cached_words).encode_many
+        encode = encoder(tokenizer, cached_words).encode_column
         packer = Packer(tiers, step_tokens, pool, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], "<u4")
 
@@ -170,16 +167,12 @@ def pack(
             columns = list(zip(*packer.take())) or [[]] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                texts = (text.as_py() for text in some.column(1))
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts)):
-                    packer.add(doc_id, np.concatenate([ids, end]))
-                yield done()
+        for some in groups(batches):
+            for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
+                packer.add(doc_id, np.concatenate([ids, end]))
+            yield done()
         packer.finish()
         yield done()
 
-    short_batches(docs.sparkSession)
     keys = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     return keys.mapInArrow(run, SCHEMA)

@@ -1,16 +1,17 @@
 """Token ids in a binary file format, compressed by a Re-Pair grammar.
 
-Documents are range-partitioned by id; each partition is a shard, cut into blocks. Within a block,
-rounds replace the most frequent pairs of neighbouring ids by nonterminals until no pair is frequent.
-A block stores its rules, the expansion length of each nonterminal, the sequence that is left, and
-where each document begins, so that one document decodes without the rest.
-
-Block layout, little-endian: magic, then counts as uint64 (documents, ids, rules, symbols, first
-nonterminal, ids of the shard before this block), then left and right sides of the rules (uint32),
+Documents are range-partitioned by id, and each partition is cut into shards, runs of documents of
+about a million ids. Within a shard, rounds replace frequent pairs of neighbouring ids by nonterminals
+until no pair occurs `least` times. A shard stores its rules, the expansion length of each
+nonterminal, the sequence that is left, and where each document begins, so that one document decodes
+without the rest.
+
+Shard layout, little-endian: magic, then counts as uint64 (documents, ids, rules, symbols, first
+nonterminal, ids of the partition before this shard), then left and right sides of the rules (uint32),
 expansion lengths (uint32), symbols (uint16 if all fit, else uint32), ids (int64) and null flags
 (uint8) of the documents, and the end of each document in ids (uint64).
 
-Blocks are rows of a Parquet table, so any store that Spark writes to will hold them.
+Shards are rows of a Parquet table, so any store that Spark writes to will hold them.
 """
 
 from __future__ import annotations
@@ -27,25 +28,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm._shared import shared_dir
-from siftlake.llm.segments import encoder
+from siftlake.llm.segments import encoder, groups
 
 MAGIC = b"RPT1"
 _HEAD = struct.Struct("<4s6Q")
-ROWS = 256
 
 
-def _frequent(seq: np.ndarray, least: int, most: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(seq: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (left << 32 | right) that occur at least `least` times, the most frequent first; where
     they occur; and which of them each place holds.
 
-    Counts are taken by hash, so the candidates of a full bucket are counted again exactly.
+    Counts are taken by hash, so the pairs of a full bucket are counted again exactly.
     """
     mixed = seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)
     hashed = (mixed >> np.uint32(32 - bits)).astype(np.int64)
     counts = np.bincount(hashed, minlength=1 << bits)
     full = np.flatnonzero(counts >= least)
-    if len(full) > most:
-        full = full[np.argpartition(-counts[full], most)[:most]]
     bucket_of = np.full(1 << bits, -1, np.int32)
     bucket_of[full] = np.arange(len(full))
     bucket = bucket_of[hashed]
@@ -61,26 +59,24 @@ def _frequent(seq: np.ndarray, least: int, most: int, bits: int) -> tuple[np.nda
     n = np.concatenate([np.bincount(bucket[~other], minlength=len(full)), rest_n])
     bucket[other] = len(full) + np.searchsorted(rest, pair[other])
     order = np.lexsort((found, -n))
-    order = order[n[order] >= least][:most]
+    order = order[n[order] >= least]
     rank = np.full(len(found), -1, np.int64)
     rank[order] = np.arange(len(order))
     slot = rank[bucket]
     return found[order], at[slot >= 0], slot[slot >= 0]
 
 
-def compress(ids: np.ndarray, rounds: int = 6, pairs: int = 512, least: int = 16, bits: int = 20):
-    """(left, right, first nonterminal, sequence): the grammar of a block of ids.
+def compress(ids: np.ndarray, least: int = 64, bits: int = 20):
+    """(left, right, first nonterminal, sequence): the grammar of a shard's ids.
 
-    A round takes up to `pairs` pairs that occur at least `least` times; rounds end early when there
-    are none. Occurrences that overlap go to the leftmost.
+    A round replaces all pairs that occur at least `least` times; rounds go on until there are none.
+    Of occurrences that overlap, every second one is taken, from the leftmost.
     """
     seq = np.asarray(ids, np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 0
-    left, right = [], []
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        top, at, slot = _frequent(seq, least, pairs, bits)
+    left, right, rules = [], [], 0
+    while len(seq) > least:
+        top, at, slot = _frequent(seq, least, bits)
         if not len(top):
             break
         # in a run of neighbouring positions every second one is taken, from the first
@@ -88,24 +84,27 @@ def compress(ids: np.ndarray, rounds: int = 6, pairs: int = 512, least: int = 16
         run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, slot = at[take], slot[take]
+        # a pair that was never taken has no rule
+        used, slot = np.unique(slot, return_inverse=True)
         seq = seq.copy()
-        seq[at] = first + sum(map(len, left)) + slot
+        seq[at] = first + rules + slot
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        left.append((top >> np.uint64(32)).astype(np.uint32))
-        right.append((top & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        left.append((top[used] >> np.uint64(32)).astype(np.uint32))
+        right.append((top[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        rules += len(used)
     none = np.zeros(0, np.uint32)
     return np.concatenate([none, *left]), np.concatenate([none, *right]), first, seq
 
 
-class Block:
-    """A block that was read; ids() decodes documents by number without decoding the rest."""
+class Shard:
+    """A shard that was read; ids() decodes documents by number without decoding the rest."""
 
     def __init__(self, payload: bytes):
         magic, self.docs, self.n_ids, rules, symbols, self.first, self.before = _HEAD.unpack_from(payload)
         if magic != MAGIC:
-            raise ValueError("not a block of token ids")
+            raise ValueError("not a shard of token ids")
         at = _HEAD.size
 
         def part(kind, n):
@@ -164,7 +163,7 @@ class Block:
         return self._decode(self.seq[a:b])[skipped : skipped + hi - lo]
 
 
-def to_block(doc_ids: list[int | None], ids: list[np.ndarray], before: int = 0, **how) -> bytes:
+def to_shard(doc_ids: list[int | None], ids: list[np.ndarray], before: int = 0, **how) -> bytes:
     flat = np.concatenate([np.zeros(0, "<u4"), *ids])
     left, right, first, seq = compress(flat, **how)
     lengths = np.ones(len(left), np.int64)
@@ -186,40 +185,38 @@ def write(
     text_col: str = "text",
     tokenizer: str | None = None,
     end_id: int = 2,
-    block_ids: int = 1 << 19,
+    shard_ids: int = 1 << 20,
+    least: int = 64,
 ) -> None:
-    """Encode all documents and write blocks of about block_ids ids, in ascending id order.
+    """Encode all documents and write shards of about shard_ids ids, in ascending id order.
 
     A null or empty text is the end id alone; null ids come first; rows of equal id are ordered by
     their texts' hash, and each is written; other columns aren't read.
     """
-    schema = "shard int, block int, n_docs long, n_ids long, payload binary"
-    arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+    schema = "part int, shard int, n_docs long, n_ids long, payload binary"
+    arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer).encode_many, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).encode_column, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
         doc_ids, ids, held, before, number = [], [], 0, 0, 0
 
-        def block():
+        def shard():
             nonlocal doc_ids, ids, held, before, number
-            row = [[shard], [number], [len(doc_ids)], [held], [to_block(doc_ids, ids, before)]]
+            row = [[part], [number], [len(doc_ids)], [held], [to_shard(doc_ids, ids, before, least=least)]]
             before, number, doc_ids, ids, held = before + held, number + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, arrow)], schema=arrow)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                texts = (text.as_py() for text in some.column(1))
-                for doc_id, found in zip(some.column(0).to_pylist(), encode(texts)):
-                    got = np.concatenate([found, end])
-                    doc_ids.append(doc_id)
-                    ids.append(got)
-                    held += len(got)
-                    if held >= block_ids:
-                        yield block()
+        for some in groups(batches):
+            for doc_id, found in zip(some.column(0).to_pylist(), encode(some.column(1))):
+                got = np.concatenate([found, end])
+                doc_ids.append(doc_id)
+                ids.append(got)
+                held += len(got)
+                if held >= shard_ids:
+                    yield shard()
         if doc_ids:
-            yield block()
+            yield shard()
 
     keys = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     keys = keys.withColumn("tie", F.xxhash64("text"))
@@ -228,23 +225,25 @@ def write(
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the files: doc_id, start (ids of all before it), n_tokens, ids_crc32."""
-    blocks = spark.read.parquet(path)
-    sizes = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
-    bases = dict(zip([s for s, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist()))
+    """One row per document of the files: doc_id, start (ids of all before it), n_tokens, ids_crc32.
+
+    The driver takes one number for each partition that was written."""
+    shards = spark.read.parquet(path)
+    sizes = sorted((r.part, r.n) for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    bases = dict(zip([p for p, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist()))
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                b = Block(payload.as_py())
+            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                b = Shard(payload.as_py())
                 ids, ends = b.ids(0, b.docs), b.ends.astype(np.int64)
                 starts = np.r_[0, ends[:-1]]
-                crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(starts.tolist(), ends.tolist())]
-                columns = [pa.array(b.doc_ids, pa.int64(), mask=b.nulls.astype(bool)), pa.array(starts + bases[shard] + b.before), pa.array(ends - starts), pa.array(crc, pa.int64())]
+                crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
+                columns = [pa.array(b.doc_ids, pa.int64(), mask=b.nulls.astype(bool)), pa.array(starts + bases[part] + b.before), pa.array(ends - starts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return blocks.select("shard", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, **how) -> DataFrame:

@@ -42,11 +42,18 @@ def test_segments_equal_the_library():
 
     t = Tokenizer.from_file(segments.default_path())
     t.encode_special_tokens = True
-    e = segments.SegmentEncoder(segments.default_path(), cached=50)
+    e = segments.SegmentEncoder(segments.default_path(), cached=50, together=300)
     odd = ["", " ", "a  b", " a", "a ", "a\nb", "a\n b", "don't, it's. x!?", "\r\n x", "é ñ, ", "<|endoftext|> a", "x\x1c y", "1,2. 3", "b, \nc d", "漢字 かな, x", "a​ b"]
     for text in [*odd, *texts(), *texts(seed=3)]:
         assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
     assert e.encode(None).tolist() == []
+    # plain and odd texts of one call, in order
+    many = [None, *odd, "a  b", *texts(seed=4), "", "x, y", "\n", "q\u2003r, s.", "'s 't,", "ñ, Éa. ×, 5, a5, _a."]
+    for whole in (1 << 23, 40):
+        e = segments.SegmentEncoder(segments.default_path(), cached=30, together=whole)
+        for _ in range(2):
+            got = [x.tolist() for x in e.encode_many(many)]
+            assert got == [t.encode(x or "", add_special_tokens=False).ids for x in many]
 
 
 def test_packing(spark, docs, empty):
@@ -86,7 +93,7 @@ def test_token_files(docs, empty):
 def test_blocks_decode_at_random():
     rng = np.random.default_rng(5)
     ids = [rng.integers(0, 9, int(n)).astype("<u4") for n in rng.integers(1, 400, 50)] + [np.array([7] * 1000, "<u4"), np.array([1], "<u4")]
-    b = token_files.Block(token_files.to_block(list(range(len(ids))), ids, before=3, least=4))
+    b = token_files.Shard(token_files.to_shard(list(range(len(ids))), ids, before=3, least=4))
     assert len(b.left) and b.before == 3
     for k in (51, 0, 17, 50, 3):
         assert b.ids(k).tolist() == ids[k].tolist()
