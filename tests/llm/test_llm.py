@@ -390,22 +390,62 @@ def brute_contamination(docs, items, size=10):
 def test_decontaminate(spark, docs, empty):
     rows = rows_of(docs)
     t = texts()
-    items = [(1, " ".join(t[2].split()[:15])), (2, "Zo not there " * 5), (3, "KAX loya"), (4, None), (5, ""), (None, " ".join(t[3].split()[:12])), (6, " ".join(t[4].split()[5:17])), (6, " ".join(t[4].split()[5:17]))]
+    items = [(1, " ".join(t[2].split()[:15])), (2, "Zo not there " * 5), (3, "KAX loya"), (4, None), (5, ""), (None, " ".join(t[3].split()[:12])), (6, " ".join(t[4].split()[5:17])), (6, " ".join(t[4].split()[5:17])), (7, " ".join(t[2].split()[:12]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    plain = docs.where("doc_id is not null and doc_id <> 0")
-    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.decontaminate(plain, bench).collect())
-    assert got == brute_contamination([r for r in rows if r[0]], items)
-    assert decontaminate.decontaminate(docs, bench).count() == len(rows)
+    # repeated and null ids are rows of their own
+    more = [(None, " ".join(t[2].split()[:8])), (None, " ".join(t[2].split()[8:])), (0, t[4]), (0, "kax"), (0, "loya x"), (5, t[2] + " " + t[2])]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.decontaminate(every, bench).collect())
+    assert got == brute_contamination([*rows, *more], items)
+    assert all(r[2] <= r[1] for r in got)
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert not decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count()
+    named = decontaminate.decontaminate(docs, bench, keep=("fp", "word"))
+    assert named.columns[-2:] == ["fp", "word"] and named.where("word = 'w'").count() == docs.where("word = 'w'").count()
+
+
+def test_joins_of_large_tables(spark, docs):
+    t = texts()
+    bench = spark.createDataFrame([(1, " ".join(t[2].split()[:15])), (2, "kax loya")], "item_id long, text string")
+    wins = decontaminate.windows(bench)
+    vocabulary = wins.select(F.explode("w").alias("word")).distinct()
+    found = []
+    for most in (0, 1000):
+        index = decontaminate.build_index(docs, vocabulary, broadcast_rows=most)
+        found.append(sorted(tuple(r) for r in decontaminate.phrase_matches(index, wins, 1, broadcast_rows=most).collect()))
+    assert found[0] == found[1] and found[0]
+
+
+def brute_near(text, window, slop):
+    w, out = text.split(), set()
+    count = lambda x: w.count(x)
+    rare = min(range(len(window)), key=lambda k: (count(window[k]), k))
+    for at in range(len(w)):
+        start = at - rare
+        if w[at] == window[rare] and all(any(0 <= start + k + d < len(w) and w[start + k + d] == x for d in range(-slop, slop + 1)) for k, x in enumerate(window)):
+            out.add((start, all(0 <= start + k < len(w) and w[start + k] == x for k, x in enumerate(window))))
+    return out
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "aa bb qq cc dd"), (2, "aa bb cc dd")], "doc_id long, text string")
-    wins = decontaminate.windows(spark.createDataFrame([(1, "aa bb cc dd")], "item_id long, text string"))
-    index = decontaminate.build_index(docs, wins.select(F.explode("w").alias("word")).distinct())
-    got = {(r.doc, r.exact) for r in decontaminate.phrase_matches(index, wins, slop=2).collect()}
-    assert (2, True) in got and (1, True) not in got
+    window = "aa bb cc dd ee".split()
+    ts = ["aa bb qq cc dd ee", "aa bb cc dd ee", "bb aa cc dd ee", "aa bb q q cc dd ee", "ee dd cc bb aa", "x aa bb cc ee dd x aa bb cc dd ee", "aa bb cc dd", "q aa cc bb dd ee aa bb"]
+    # each text has words of its own, so that the rarest term is the text's
+    mine = lambda t, k: " ".join(f"{w}{k}" for w in t.split())
+    own = [(k, mine(t, k)) for k, t in enumerate(ts)]
+    wins = decontaminate.windows(spark.createDataFrame([(k, mine(" ".join(window), k)) for k in range(len(ts))], "item_id long, text string"))
+    numbers = {r.win: r.item_id for r in wins.collect()}
+    index = decontaminate.build_index(spark.createDataFrame(own, "doc_id long, text string").coalesce(1), wins.select(F.explode("w").alias("word")).distinct())
+    rows = {r.row: r.of.doc_id for r in index.where("of is not null").collect()}
+    for slop in (0, 1, 2):
+        got = [set() for _ in ts]
+        for r in decontaminate.phrase_matches(index, wins, slop).collect():
+            assert rows[r.row] == numbers[r.win]
+            got[rows[r.row]].add((r.start, r.exact))
+        assert got == [brute_near(t, window, slop) for t in ts], slop
+    docs = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.n_near) for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, " ".join(window))], "item_id long, text string")).collect()}
+    assert got[1] == (True, 0) and got[2] == (False, 1) and got[6] == (False, 0) and got[5] == (True, 0)
 
 
 def test_language(spark, docs, empty):
