@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session has none."""
+    """The folder named by spark.checkpoint.dir. Where the session has none, one in the temporary folder
+    of a local session; a cluster needs the setting, as its machines don't share such folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -25,8 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="siftlake-shared-")
-    sc.setCheckpointDir(own)
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster shares")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftlake-shared-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -45,13 +50,52 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows in this session: the default of 10,000 whole texts,
-    held by the JVM and by Python for each task, is too much for small executors."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(spark.conf.get(name))
-    if held <= 0 or held > rows:
-        spark.conf.set(name, str(rows))
+def join_sized(rows: DataFrame, keyed: DataFrame, key: str, size: str, large: int = 1000, most: int = 200_000) -> DataFrame:
+    """rows joined to `keyed`, which has one row for each key with its number of rows in `size`.
+
+    Keys with many rows are joined by a broadcast, the others by a shuffle, so no task gets a large
+    key. A key is large from `large` rows on, or a higher number, so that at most `most` keys are: there
+    can't be more than all rows divided by it.
+    """
+    total = keyed.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) >= max(large, total // most + 1)
+    heavy = F.broadcast(keyed.where(hot))
+    light = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
+def groups(batches: Iterable[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.Table]:
+    """The rows of the batches, in order, in tables of about `size` bytes: small batches go together,
+    and large ones are cut, but for a row that is larger by itself."""
+    held, n = [], 0
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            held.append(batch.slice(at, step))
+            n += held[-1].nbytes
+            if n >= size:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], size: int = 1 << 23) -> Iterator[pa.Table]:
+    """Tables like those of groups(), of rows that are sorted by keys, in which no group of equal keys
+    is cut: the last group of a table waits for the next."""
+    held = None
+    for t in groups(batches, size):
+        t = t if held is None else pa.concat_tables([held, t])
+        last = np.ones(t.num_rows, bool)
+        for k in keys:
+            c = t.column(k).to_numpy()
+            last &= c == c[-1]
+        begin = int(np.argmax(last))
+        held = t.slice(begin)
+        if begin:
+            yield t.slice(0, begin)
+    if held is not None:
+        yield held
 
 
 def let(value, body):

@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import short_batches
 
 UNKNOWN = "und"
 #: Characters of a text that are worked on at a time.
@@ -221,5 +220,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 made = pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "rejected"])
                 yield made if rejected is None else made.filter(pa.array([g[2] is rejected for g in got], pa.bool_()))
 
-    short_batches(docs.sparkSession)
     return source.mapInArrow(run, out)

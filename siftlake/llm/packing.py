@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from siftlake.llm.segments import encoder, groups
+from siftlake.llm._shared import groups
+from siftlake.llm.segments import encoder
 
 TIERS = (1024, 512, 256, 128)
 

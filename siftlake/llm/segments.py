@@ -54,22 +54,6 @@ def encoder(path: str | None = None, cached: int = 400_000) -> "SegmentEncoder":
     return _held[path, cached]
 
 
-def groups(batches: Iterable[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.Table]:
-    """The rows of the batches, in order, in tables of about `size` bytes: small batches go together,
-    and large ones are cut, but for a row that is larger by itself."""
-    held, n = [], 0
-    for batch in batches:
-        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
-        for at in range(0, batch.num_rows, step):
-            held.append(batch.slice(at, step))
-            n += held[-1].nbytes
-            if n >= size:
-                yield pa.Table.from_batches(held)
-                held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 class _Segments:
     """Segments and their ids: one flat array of ids, and where each segment's begin."""
 

@@ -20,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import materialize, short_batches
+from siftlake.llm._shared import groups, join_sized, materialize, whole_groups
 
 ROWS = 256
 #: Searches that go down a forest at a time.
 SEARCHES = 1 << 14
+#: Bytes of rows that a task takes at a time.
+SEARCH_BYTES = 1 << 22
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -162,23 +164,26 @@ def links(distinct: DataFrame, radius: int = 2, shard_size: int = 20_000) -> Dat
     tree = F.pmod(F.xxhash64("fp"), F.col("trees").cast("long")).cast("int")
     sent = spread.select("fp", "shard", tree.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
     sent = sent.select("fp", "shard", "tree", (F.col("own") == F.col("tree")).alias("member")).repartition("shard", "tree")
+    sent = sent.sortWithinPartitions("shard", "tree", F.desc("member"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        fps, shard, tree, member = (t.column(k).to_numpy() for k in range(4))
-        fps = fps.view(np.uint64)
-        # a number for each (shard, tree)
-        _, name = np.unique(np.stack([shard, tree.astype(np.int64)]), axis=1, return_inverse=True)
-        name, inside = name.reshape(-1), np.flatnonzero(member)
-        forest = Forest(name[inside], fps[inside])
-        q, n = forest.search(name, fps, radius)
-        a, b = fps[q].view(np.int64), fps[inside][n].view(np.int64)
-        a, b = spanning_forest(a[a != b], b[a != b])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+        # a tree's own fingerprints come first, so those searched later find all of them in `kept`
+        kept = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for t in groups(batches, SEARCH_BYTES):
+            fps, shard, tree, member = (t.column(k).to_numpy() for k in range(4))
+            mine = [fps.view(np.uint64)[member], shard[member], tree.astype(np.int64)[member]]
+            inside = [np.concatenate(pair) for pair in zip(kept, mine)]
+            # a number for each (shard, tree)
+            both = np.stack([np.r_[inside[1], shard], np.r_[inside[2], tree.astype(np.int64)]])
+            _, name = np.unique(both, axis=1, return_inverse=True)
+            name, n = name.reshape(-1), len(inside[0])
+            q, at = Forest(name[:n], inside[0]).search(name[n:], fps.view(np.uint64), radius)
+            a, b = fps[q], inside[0][at].view(np.int64)
+            a, b = spanning_forest(a[a != b], b[a != b])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+            last = (inside[1] == shard[-1]) & (inside[2] == tree[-1])
+            kept = [x[last] for x in inside]
 
     return sent.mapInArrow(run, "a long, b long")
 
@@ -190,18 +195,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     the shared folder, so lineage stays short and a lost executor repeats one step at most.
     """
 
-    def star(e: DataFrame, low: DataFrame) -> DataFrame:
-        return e.join(low, "u")
-
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = None
     for _ in range(most):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = star(both, low).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+        large = join_sized(both, materialize(low, "least"), "u", "n").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: neighbours below u, and u itself, go to the least of them
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        large = materialize(large, "large-stars")
+        down = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "down")
+        small = join_sized(large, down, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         edges = materialize(small.where("a <> b").distinct(), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
@@ -222,9 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
     roots = components(links(classes.select("fp"), radius, shard_size)).withColumnRenamed("node", "fp")
     linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id", "class_size")
-    out = fps.join(named, "fp")
+    linked = materialize(linked, "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    named = materialize(join_sized(linked, least, "root", "n").select("fp", "component_id", "class_size"), "named")
+    out = join_sized(fps, named, "fp", "class_size")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
 
 
@@ -235,6 +239,9 @@ WORDS, KEYS = 8, 6
 PIECE, LEADERS = 1024, 32
 #: Standard deviations of an estimate within which a pair is looked at.
 SIGMAS = 4.5
+#: Classes of a candidate component that a task verifies against one another; a larger component is cut
+#: into parts of half as many, and any two parts meet in a task.
+GROUP = 4096
 #: Pairs that one slice of a partition's pieces may have.
 SLICE = 1 << 22
 
@@ -247,6 +254,11 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit key of a text; that of a null text is of no other."""
+    return F.xxhash64(text.isNull(), text)
+
+
 def shingle_set(text: str | None, shingle: int = 5) -> tuple[int, np.ndarray]:
     """(hash of the word sequence, sorted hashes of its distinct shingles) of a whole text."""
     import xxhash
@@ -305,34 +317,29 @@ def copy_links(classes: DataFrame, similarity: float = 0.8, piece: int = PIECE,
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        same, shard, part = (t.column(c).to_numpy() for c in ("same", "shard", "piece"))
-        fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)
-        order = np.lexsort((part, shard))
-        same, fps, shard, part = same[order], fps[order], shard[order], part[order]
-        name = np.cumsum(np.r_[True, (np.diff(shard) != 0) | (np.diff(part) != 0)]) - 1
-        begin = np.r_[np.flatnonzero(np.r_[True, np.diff(name) != 0]), len(name)]
-        pairs = np.cumsum(np.diff(begin).astype(np.int64) ** 2)
-        at = 0
-        while at < len(pairs):
-            done = int(pairs[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(pairs, done + SLICE, "right")))
-            lo, hi = int(begin[at]), int(begin[to])
-            f, s = fps[lo:hi], same[lo:hi]
-            q, n = Forest(name[lo:hi], f[:, 0]).search(name[lo:hi], f[:, 0], first)
-            q, n = q[q < n], n[q < n]
-            apart = np.zeros(len(q), np.int64)
-            for k in range(WORDS):
-                apart += np.bitwise_count(f[q, k] ^ f[n, k])
-            near = (apart <= whole) & (s[q] != s[n])
-            a, b = spanning_forest(s[q[near]], s[n[near]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-            at = to
+        for t in whole_groups(batches, ["shard", "piece"]):
+            same, shard, part = (t.column(c).to_numpy() for c in ("same", "shard", "piece"))
+            fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)
+            name = np.cumsum(np.r_[True, (np.diff(shard) != 0) | (np.diff(part) != 0)]) - 1
+            begin = np.r_[np.flatnonzero(np.r_[True, np.diff(name) != 0]), len(name)]
+            pairs = np.cumsum(np.diff(begin).astype(np.int64) ** 2)
+            at = 0
+            while at < len(pairs):
+                done = int(pairs[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(pairs, done + SLICE, "right")))
+                lo, hi = int(begin[at]), int(begin[to])
+                f, s = fps[lo:hi], same[lo:hi]
+                q, n = Forest(name[lo:hi], f[:, 0]).search(name[lo:hi], f[:, 0], first)
+                q, n = q[q < n], n[q < n]
+                apart = np.zeros(len(q), np.int64)
+                for k in range(WORDS):
+                    apart += np.bitwise_count(f[q, k] ^ f[n, k])
+                near = (apart <= whole) & (s[q] != s[n])
+                a, b = spanning_forest(s[q[near]], s[n[near]])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                at = to
 
-    inside = materialize(spread.repartition("shard", "piece").mapInArrow(run, "a long, b long"), "piece-links")
+    inside = materialize(spread.repartition("shard", "piece").sortWithinPartitions("shard", "piece").mapInArrow(run, "a long, b long"), "piece-links")
     large = materialize(sized.where("pieces > 1").select("same", *fs, "shard", "pieces", own.alias("own")), "large-shards")
     if large.isEmpty():
         return inside
@@ -341,6 +348,14 @@ def copy_links(classes: DataFrame, similarity: float = 0.8, piece: int = PIECE,
     return inside.unionByName(_across(rooted, fs, first, whole))
 
 
+def _runs(t: pa.Table, keys: list[str]) -> list[np.ndarray]:
+    """Numbers of a table's rows by groups of equal keys; its rows are sorted by them."""
+    new = np.zeros(t.num_rows - 1, bool)
+    for k in keys:
+        new |= np.diff(t.column(k).to_numpy()) != 0
+    return np.split(np.arange(t.num_rows), np.flatnonzero(new) + 1)
+
+
 def _across(rows: DataFrame, fs: list[str], first: int, whole: int) -> DataFrame:
     """Edges (a, b) between the roots of near rows (same, f0.., shard, pieces, own, root) that are in
     two pieces of a shard. A task holds the two pieces only, so a large shard has many tasks."""
@@ -350,31 +365,26 @@ def _across(rows: DataFrame, fs: list[str], first: int, whole: int) -> DataFrame
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        root, shard, low, high, side = (t.column(c).to_numpy() for c in ("root", "shard", "low", "high", "side"))
-        fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)
-        order = np.lexsort((high, low, shard))
-        new = (np.diff(shard[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
-        for group in np.split(order, np.flatnonzero(new) + 1):
-            x, y = group[side[group]], group[~side[group]]
-            ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            step = max(1, SLICE // max(1, len(y)))
-            for at in range(0, len(x), step):
-                some = x[at : at + step]
-                i, j = np.nonzero((np.bitwise_count(fps[some, :1] ^ fps[y, 0]) <= first) & (root[some, None] != root[y]))
-                i, j = some[i], y[j]
-                apart = np.zeros(len(i), np.int64)
-                for k in range(WORDS):
-                    apart += np.bitwise_count(fps[i, k] ^ fps[j, k])
-                ends[0].append(root[i[apart <= whole]])
-                ends[1].append(root[j[apart <= whole]])
-            a, b = spanning_forest(np.concatenate(ends[0]), np.concatenate(ends[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-
-    return pairs.repartition("shard", "low", "high").mapInArrow(run, "a long, b long")
+        for t in whole_groups(batches, ["shard", "low", "high"]):
+            root, side = t.column("root").to_numpy(), t.column("side").to_numpy()
+            fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)
+            for group in _runs(t, ["shard", "low", "high"]):
+                x, y = group[side[group]], group[~side[group]]
+                ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                step = max(1, SLICE // max(1, len(y)))
+                for at in range(0, len(x), step):
+                    some = x[at : at + step]
+                    i, j = np.nonzero((np.bitwise_count(fps[some, :1] ^ fps[y, 0]) <= first) & (root[some, None] != root[y]))
+                    i, j = some[i], y[j]
+                    apart = np.zeros(len(i), np.int64)
+                    for k in range(WORDS):
+                        apart += np.bitwise_count(fps[i, k] ^ fps[j, k])
+                    ends[0].append(root[i[apart <= whole]])
+                    ends[1].append(root[j[apart <= whole]])
+                a, b = spanning_forest(np.concatenate(ends[0]), np.concatenate(ends[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    return pairs.repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high").mapInArrow(run, "a long, b long")
 
 
 def _exact_links(fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -403,17 +413,21 @@ def _exact_links(fps: np.ndarray, sets: list[np.ndarray], similarity: float) ->
     return tuple(np.array(links, np.int64).reshape(-1, 2).T)
 
 
-def _verified(keys: DataFrame, prints: DataFrame, classes: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(keys: DataFrame, classes: DataFrame, roots: DataFrame, shingle: int, similarity: float, group: int = GROUP) -> DataFrame:
     """Edges (a, b) between classes of one candidate component (same, root) by their exact shingle sets,
     which are made again from one text of each such class only."""
     fs = [f"f{k}" for k in range(WORDS)]
     # a root has no row of its own
-    members = roots.unionByName(roots.select(F.col("root").alias("same"), "root")).distinct()
-    one = prints.join(members, "same").groupBy("same", "root").agg(F.min(F.struct("doc_id", "txt")).alias("of"))
-    one = materialize(one.join(classes.select("same", *fs), "same").select("same", "root", *fs, F.col("of.doc_id").alias("of_id"), F.col("of.txt").alias("txt")), "candidates")
+    members = materialize(roots.unionByName(roots.select(F.col("root").alias("same"), "root")).distinct(), "members")
+    sizes = materialize(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    parts = F.when(F.col("n") <= group, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / F.lit(group))).cast("long")
+    one = join_sized(members, sizes, "root", "n").select("root", "same", parts.alias("parts"))
+    one = materialize(one.join(classes.select("same", "least", *fs), "same").select("root", "same", "parts", *fs, F.col("least.doc_id").alias("of_id"), F.col("least.txt").alias("txt")), "candidates")
     side = F.broadcast(one) if one.count() <= 200_000 else one
-    texts = keys.join(side, (keys["txt"] == side["txt"]) & keys["id"].eqNullSafe(side["of_id"])).select("root", "same", *fs, "text")
-    names = ["root", "same", *fs]
+    texts = keys.join(side, (keys["txt"] == side["txt"]) & keys["id"].eqNullSafe(side["of_id"])).select("root", "same", "parts", *fs, "text")
+    # a row that is repeated has its text again
+    texts = texts.dropDuplicates(["same"])
+    names = ["root", "same", "parts", *fs]
     schema = pa.schema([*[(c, pa.int64()) for c in names], ("hashes", pa.large_binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,30 +440,30 @@ def _verified(keys: DataFrame, prints: DataFrame, classes: DataFrame, roots: Dat
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        root, same = t.column("root").to_numpy(), t.column("same").to_numpy()
-        fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)
-        _, once = np.unique(same, return_index=True)  # a repeated row has its text again
-        order = once[np.argsort(root[once], kind="stable")]
-        for group in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-            i, j = _exact_links(fps[group], [np.frombuffer(t.column("hashes")[int(k)].as_py(), np.uint64) for k in group], similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(same[group[i]]), pa.array(same[group[j]])], schema=out)
+        for t in whole_groups(batches, ["root", "low", "high"]):
+            same, hashes = t.column("same").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
+            fps = np.stack([t.column(c).to_numpy() for c in fs], axis=1).view(np.uint64)
+            for group in _runs(t, ["root", "low", "high"]):
+                i, j = _exact_links(fps[group], [hashes[k] for k in group], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(same[group[i]]), pa.array(same[group[j]])], schema=out)
 
     made = texts.mapInArrow(sets, ", ".join([*[f"{c} long" for c in names], "hashes binary"]))
-    return made.repartition("root").mapInArrow(run, "a long, b long")
+    own, parts = F.pmod(F.xxhash64("same"), F.col("parts")), F.col("parts")
+    # two parts meet in a task; there, each is compared with itself as well
+    other = F.when(parts == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: k != own))
+    made = made.withColumns({"own": own, "other": F.explode(other)}).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    return made.select("root", "low", "high", "same", *fs, "hashes").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per document: doc_id and component_id, the least doc_id reachable over links between
-    texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
+    """One row per document: doc_id, txt (text_key of its text), component_id, the least doc_id
+    reachable over links between texts whose sets of word shingles have a Jaccard similarity of
+    `similarity` or more, and first: whether the row's doc_id and text are the least of its component.
 
     Pairs are found by least shingles and by a SimHash of 512 bits with a margin of SIGMAS standard
-    deviations, and linked by their exact sets only. Texts of equal words are
-    one class, whatever their number. Null texts and ids, repeated rows, other columns and empty
-    tables go as in near_duplicates.
+    deviations, and linked by their exact sets only. Texts of equal words are one class, whatever their
+    number. Null texts and ids, repeated rows, other columns and empty tables go as in near_duplicates.
+    A null id comes after all others; rows with the same id and text are first, or not, together.
     """
     names = ["doc_id", "same", *[f"f{k}" for k in range(WORDS)], *[f"k{k}" for k in range(KEYS)], "txt"]
     schema = pa.schema([(c, pa.int64()) for c in names])
@@ -462,15 +476,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = np.array([np.r_[np.uint64(s), f, k] for s, f, k in made], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(rows[:, k]) for k in range(rows.shape[1])], some.column(2)], schema=schema)
 
-    short_batches(docs.sparkSession)
     keys = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = keys.withColumn("txt", F.xxhash64("text"))
+    keys = keys.withColumn("txt", text_key(F.col("text")))
     prints = materialize(keys.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "long-fingerprints")
-    # equal within a class
-    classes = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in names[2:-1]]), "classes")
+    # columns are equal within a class; of a class's rows the one of the least id comes first
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "txt")
+    classes = prints.groupBy("same").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in names[2:-1]])
+    classes = materialize(classes, "classes")
     maybe = components(copy_links(classes, similarity)).withColumnRenamed("node", "same")
-    roots = components(_verified(keys, prints, classes, maybe, shingle, similarity)).withColumnRenamed("node", "same")
-    linked = classes.select("same", "least").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("same", "component_id")
-    return prints.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
+    roots = components(_verified(keys, classes, maybe, shingle, similarity)).withColumnRenamed("node", "same")
+    linked = materialize(classes.select("same", "least", "n").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same")), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("members")), "components")
+    named = materialize(join_sized(linked.select("same", "root", "n"), least, "root", "members").select("same", "top", "n"), "named")
+    out = join_sized(prints.select("doc_id", "txt", "same"), named, "same", "n")
+    first = F.col("top.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("top.txt") == F.col("txt"))
+    return out.select("doc_id", "txt", F.col("top.doc_id").alias("component_id"), first.alias("first"))

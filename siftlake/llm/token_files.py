@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import shared_dir
-from siftlake.llm.segments import encoder, groups
+from siftlake.llm._shared import groups, shared_dir
+from siftlake.llm.segments import encoder
 
 MAGIC = b"RPT1"
 _HEAD = struct.Struct("<4s6Q")

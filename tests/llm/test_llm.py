@@ -148,7 +148,8 @@ def test_simhash(docs, empty):
 
 
 @pytest.mark.parametrize("shard_size", [5, 20_000])
-def test_links_lose_nothing(spark, shard_size):
+def test_links_lose_nothing(spark, shard_size, monkeypatch):
+    monkeypatch.setattr(simhash, "SEARCH_BYTES", 1 << 9 if shard_size == 5 else 1 << 22)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
@@ -189,6 +190,43 @@ def test_near_copies(spark, docs, empty):
     assert simhash.near_copies(empty).count() == 0
 
 
+def test_rows_that_stay(spark):
+    w = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcde"]
+    rows = [(5, w[0]), (3, w[0]), (3, w[0]), (3, w[1]), (None, w[1]), (None, w[2]), (None, w[2]), (9, w[3] + " x"), (9, w[3]), (7, w[4]), (8, None), (None, None), (2, "")]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.first) for r in got) == sorted(
+        [("5", "3", False), ("3", "3", True), ("3", "3", True), ("3", "3", True), ("None", "3", False), ("None", "None", True), ("None", "None", True), ("7", "7", True), ("8", "2", False), ("None", "2", False), ("2", "2", True)]
+        + [("9", "9", got_first) for got_first in (True, False)]
+    )
+
+
+def test_candidates_in_parts(spark):
+    rng = np.random.default_rng(12)
+    base, ts = [f"w{x}" for x in range(200)], []
+    for k in range(120):
+        other = list(base)
+        # two families within a candidate component, and copies of each
+        for at in ([0, 50, 100, 150] if k % 2 else []) + [int(rng.integers(200))]:
+            other[at] = f"n{k % 2}" if at in (0, 50, 100, 150) else f"m{rng.integers(1 << 30)}"
+        ts.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(ts)), "id long, text string")
+    keys = docs.withColumn("txt", simhash.text_key(F.col("text")))
+    made = [(k, *simhash.long_fingerprint(t)) for k, t in enumerate(ts)]
+    names = ", ".join(["id long", "same long", *[f"f{k} long" for k in range(simhash.WORDS)]])
+    rows = [(k, *np.r_[np.uint64(s), f].astype(np.uint64).view(np.int64).tolist()) for k, s, f, _ in made]
+    classes = spark.createDataFrame(rows, names).join(keys.select("id", "txt"), "id").withColumn("least", F.struct("id", "txt")).selectExpr("same", "named_struct('doc_id', least.id, 'txt', least.txt) least", *[f"f{k}" for k in range(simhash.WORDS)])
+    least = min(r[1] for r in rows)
+    roots = spark.createDataFrame([(r[1], least) for r in rows if r[1] != least], "same long, root long")
+    found = {}
+    for group in (16, 4096):
+        edges = simhash._verified(keys, classes, roots, 5, 0.8, group)
+        root = {r.node: r.root for r in simhash.components(edges).collect()}
+        found[group] = [root.get(r[1], r[1]) for r in rows]
+    label = components(len(ts), [(a, b) for a in range(len(ts)) for b in range(a) if jaccard(ts[a], ts[b]) >= 0.8])
+    for got in found.values():
+        assert all((got[a] == got[b]) == (label[a] == label[b]) for a in range(len(ts)) for b in range(a))
+
+
 def test_large_group_of_near_copies_hangs_together(spark):
     rng = np.random.default_rng(6)
     base, ts = [f"w{x}" for x in range(200)], []
@@ -488,3 +526,22 @@ def test_pipeline(spark, tmp_path):
     assert not ids & {3, 100, 101, 102} and len(ids) >= 27
     pieces = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert pieces == ids
+
+
+def test_stages_tell_rows_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    bench = spark.createDataFrame([(1, " ".join(a.split()[5:25]))], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(3, a), (5, a), (5, b), (9, c), (9, c), (None, a), (None, d), (None, d), (7, None), (8, "")]
+    docs = spark.createDataFrame([(k, t, "aa", "s", n) for n, (k, t) in enumerate(rows)], schema)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text) == [("3", a), ("5", b), ("9", c), ("None", d)]
+    assert [r.doc_id for r in kept.collect() if not r.text] == [7]
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r.n_chars for r in clean.collect()) == [2, 3, 4, 6, 7, 8, 9] and clean.columns == docs.columns
+    empty = docs.limit(0)
+    assert not corpus_pipeline.near_duplicates(spark, empty, str(tmp_path)).count() and not corpus_pipeline.decontamination(spark, empty, str(tmp_path)).count()
