@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from siftlake.llm import decontaminate, language, packing, quality, simhash
 from siftlake.llm._shared import materialize, table
 
-#: Up to so many ids a list of ids is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Words that a packing worker holds: few, as executors hold what earlier stages left as well.
-CACHED_WORDS = 150_000
+#: Up to so many keys of rows are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids (column doc_id, null included)."""
-    ids = materialize(ids.select(F.col("doc_id").alias("__gone")), "dropped")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["__gone"]), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with `__txt`, a key of the row's text: what a stage decides depends on a row's id and text."""
+    return docs.withColumn("__txt", simhash.text_key(F.col("text").cast("string")))
+
+
+def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs (with __txt) whose id and text are among keys (doc_id, txt), or aren't."""
+    keys = materialize(keys.select(F.col("doc_id").alias("__id"), F.col("txt").alias("__key")).distinct(), "keys")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    same = (docs["__txt"] == side["__key"]) & docs["doc_id"].cast("long").eqNullSafe(side["__id"])
+    return docs.join(side, same, how)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,21 +41,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts of about 0.8 or more in five-word shingles: the one with the
-    least id. Rows with a null id stay."""
-    found = simhash.near_copies(docs)
-    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    """One document of each group of texts of 0.8 or more in five-word shingles: the one with the least
+    id, a null id last; of rows with the same id and text, one."""
+    columns, docs = docs.columns, _keyed(docs)
+    found = materialize(simhash.near_copies(docs).select("doc_id", "txt", "first"), "near-copies")
+    rest = _matching(docs, found.where("not first"), "left_anti")
+    again = found.where("first").groupBy("doc_id", "txt").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialize(again, "repeated")
+    if again.isEmpty():
+        return rest.select(*columns)
+    once = _matching(rest, again, "left_semi").dropDuplicates(["doc_id", "__txt"])
+    return _matching(rest, again, "left_anti").unionByName(once).select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    """Documents in which no window of a benchmark item occurs. Rows are told apart by id and text."""
+    columns, docs = docs.columns, _keyed(docs)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=("__txt",))
+    hit = found.where("contaminated").select("doc_id", F.col("__txt").alias("txt"))
+    return _matching(docs, hit, "left_anti").select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs, cached_words=CACHED_WORDS)
+    return packing.pack(docs)
 
 
 STAGES = [
