@@ -19,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.llm._shared import groups
+
 MARK = "▁"
-ROWS = 256
+#: Bytes of texts whose distinct words share a trie.
+TOGETHER = 1 << 21
 
 _held: dict[tuple[str, int], "PrefixTrie"] = {}
 
@@ -135,11 +138,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie(path, terminals)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                got = count_texts(t, some.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], schema=schema)
+        for some in groups(batches, TOGETHER):
+            got = count_texts(t, some.column(1).to_pylist())
+            columns = [some.column(0).combine_chunks(), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     keys = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return keys.mapInArrow(run, "doc_id long, n_tokens long, n_pretokens long")
