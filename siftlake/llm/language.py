@@ -2,8 +2,8 @@
 
 A text is the mean of the embeddings of its subwords (runs of 1 to 4 letters, blanks as word ends,
 hashed to a fixed number of buckets); a linear softmax over it gives the languages. Both are trained
-by stochastic gradient descent in numpy on a bounded sample of labelled rows. Part of the sample is
-held back to calibrate: a temperature for the scores, and the score below which a text is rejected.
+by stochastic gradient descent in numpy on a bounded sample of labelled rows, whose whole texts are
+counted on executors: the driver gets the counts of buckets only. Part of the sample is held back to calibrate: a temperature for the scores, and the score below which a text is rejected.
 
 Since the model is linear in the embeddings, embedding and softmax weights fold into one table of
 buckets x languages, which is all that workers need (buckets * languages * 4 bytes, whatever the
@@ -25,6 +25,8 @@ UNKNOWN = "und"
 #: Characters of a text that are worked on at a time.
 CHUNK = 1 << 18
 ROWS = 256
+#: Buckets that subwords are hashed to.
+BUCKETS = 1 << 14
 
 _letters: np.ndarray | None = None
 
@@ -92,39 +94,67 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def labelled(docs: DataFrame, per_language: int, most: int, text_col: str, lang_col: str, id_col: str) -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts: rows of each language by the least hash of their ids.
+def _views(text: str) -> list[str]:
+    """The text and a few short stretches of it, so that short texts are learnt as well."""
+    words = text.split()
+    cuts = [words[k : k + n] for k, n in ((0, 4), (len(words) // 3, 8), (len(words) // 2, 16), (2 * len(words) // 3, 2))]
+    return [text, *[" ".join(c) for c in cuts if c]]
+
+
+#: A view of a text: its buckets, their shares, and whether it is the whole text.
+View = tuple[np.ndarray, np.ndarray, bool]
+
+
+def views(text: str, buckets: int) -> list[View]:
+    """The views with a letter."""
+    out = []
+    for number, view in enumerate(_views(text)):
+        counts, letters = subwords(view, buckets)
+        if letters:
+            seen = np.flatnonzero(counts)
+            out.append((seen.astype(np.int32), (counts[seen] / counts[seen].sum()).astype(np.float32), number == 0))
+    return out
+
+
+def labelled(docs: DataFrame, per_language: int, most: int, text_col: str, lang_col: str, id_col: str, buckets: int) -> list[tuple[str, list[View]]]:
+    """A bounded sample of labelled rows, as (language, views): those of each language with the least
+    hash of id, text and place in the table, so rows that repeat are drawn one by one.
 
     Two aggregations over all rows set a rate for each language; the rows below it are few enough to
-    sort on the driver.
+    sort on the driver, and their whole texts stay on the executors.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # of many languages the most frequent get their share first
     sizes = {r[lang_col]: r["n"] for r in known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(max(1, most // 8)).collect()}
     each = min(per_language, most // max(1, len(sizes)))
-    chance = (F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30)))
+    drawn = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.monotonically_increasing_id(), F.lit("language sample"))
+    chance = drawn.bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
     rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.3 * each / n))).otherwise(rate)
-    rows = known.select(lang_col, chance.alias("chance"), text_col).where(F.col("chance") < rate)
-    out, taken = [], dict.fromkeys(sizes, 0)
-    for lang, _, text in sorted((tuple(r) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1], r[2])):
-        if taken[lang] < each:
-            taken[lang] += 1
-            out.append((lang, text))
-    return out
+    rows = known.select(F.col(lang_col).alias("lang"), chance.alias("chance"), F.col(text_col).cast("string").alias("text")).where(F.col("chance") < rate)
+    schema = pa.schema([("lang", pa.string()), ("chance", pa.float64()), ("seen", pa.list_(pa.binary())), ("share", pa.list_(pa.binary())), ("whole", pa.list_(pa.bool_()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                some = batch.slice(at, 32)
+                made = [views(t.as_py(), buckets) for t in some.column(2)]
+                parts = [[[x.tobytes() for x, _, _ in v] for v in made], [[x.tobytes() for _, x, _ in v] for v in made], [[x for _, _, x in v] for v in made]]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *[pa.array(c, f.type) for c, f in zip(parts, list(schema)[2:])]], schema=schema)
 
-def _views(text: str) -> list[str]:
-    """The text and a few short stretches of it, so that short texts are learnt as well."""
-    words = text[:20_000].split()
-    cuts = [words[k : k + n] for k, n in ((0, 4), (len(words) // 3, 8), (len(words) // 2, 16), (2 * len(words) // 3, 2))]
-    return [text[:20_000], *[" ".join(c) for c in cuts if c]]
+    out, taken = [], dict.fromkeys(sizes, 0)
+    found = rows.mapInArrow(run, "lang string, chance double, seen array<binary>, share array<binary>, whole array<boolean>").collect()
+    for r in sorted(found, key=lambda r: (r.lang, r.chance, r.seen)):
+        if taken[r.lang] < each:
+            taken[r.lang] += 1
+            out.append((r.lang, [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32), w) for a, b, w in zip(r.seen, r.share, r.whole)]))
+    return out
 
 
 def train(
-    sample: list[tuple[str, str]],
-    buckets: int = 1 << 14,
+    sample: list[tuple[str, list[View]]],
+    buckets: int = BUCKETS,
     width: int = 12,
     epochs: int = 6,
     rate: float = 20.0,
@@ -132,7 +162,7 @@ def train(
     lost: float = 0.002,
     seed: int = 17,
 ) -> Model:
-    """Train on (language, text) pairs; every fifth pair is held back for calibration.
+    """Train on (language, views) pairs; every fifth pair is held back for calibration.
 
     `reject` is the score below which lie at most the share `lost` of the held-back whole texts that
     are predicted rightly.
@@ -141,21 +171,35 @@ def train(
     if not languages:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rows: dict[bool, list] = {True: [], False: []}
-    for k, (lang, text) in enumerate(sample):
-        for number, view in enumerate(_views(text)):
-            counts, letters = subwords(view, buckets)
-            if letters:
-                seen = np.flatnonzero(counts)
-                rows[k % 5 == 4].append((seen, (counts[seen] / counts[seen].sum()).astype(np.float32), languages.index(lang), number == 0))
+    for k, (lang, seen) in enumerate(sample):
+        rows[k % 5 == 4] += [(index, share, languages.index(lang), whole) for index, share, whole in seen]
+    embedding, weights, bias = learn(rows[False] or rows[True], len(languages), buckets, width, epochs, rate, batch, seed)
+    table = (embedding @ weights).astype(np.float32)
+    check = rows[True] or rows[False]
+    if not check:
+        return Model(languages, table, bias, 1.0, 0.0)
+    raw = np.array([x[1] @ table[x[0]] + bias for x in check])
+    truth = np.array([x[2] for x in check])
+    temperatures = np.geomspace(0.05, 5, 60)
+    losses = [-np.log(_softmax(raw / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in temperatures]
+    temperature = float(temperatures[int(np.argmin(losses))])
+    p = _softmax(raw / temperature)
+    score, right = p.max(axis=1), p.argmax(axis=1) == truth
+    scores = score[right & np.array([x[3] for x in check])]
+    reject = float(np.quantile(scores, lost, method="lower")) if len(scores) else 0.0
+    return Model(languages, table, bias, temperature, reject)
+
+
+def learn(rows: list[tuple], languages: int, buckets: int, width: int, epochs: int, rate: float, batch: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(embedding, weights, bias) by stochastic gradient descent on rows (buckets, shares, language, whole)."""
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (buckets, width)).astype(np.float32)
-    weights, bias = np.zeros((width, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    learn = rows[False] or rows[True]
-    steps, done = max(1, epochs * -(-len(learn) // batch)), 0
+    weights, bias = np.zeros((width, languages), np.float32), np.zeros(languages, np.float32)
+    steps, done = max(1, epochs * -(-len(rows) // batch)), 0
     for _ in range(epochs):
-        order = rng.permutation(len(learn))
+        order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
-            some = [learn[k] for k in order[at : at + batch]]
+            some = [rows[k] for k in order[at : at + batch]]
             index, share = np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])
             begin = np.r_[0, np.cumsum([len(x[0]) for x in some])[:-1]]
             mean = np.add.reduceat(embedding[index] * share[:, None], begin)
@@ -170,18 +214,7 @@ def train(
             for d in range(width):
                 embedding[used, d] -= step * np.bincount(slot, back[:, d], len(used)).astype(np.float32)
             done += 1
-    table = (embedding @ weights).astype(np.float32)
-    check = rows[True] or learn
-    raw = np.array([x[1] @ table[x[0]] + bias for x in check])
-    truth = np.array([x[2] for x in check])
-    temperatures = np.geomspace(0.05, 5, 60)
-    losses = [-np.log(_softmax(raw / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in temperatures]
-    temperature = float(temperatures[int(np.argmin(losses))])
-    p = _softmax(raw / temperature)
-    score, right = p.max(axis=1), p.argmax(axis=1) == truth
-    scores = score[right & np.array([x[3] for x in check])]
-    reject = float(np.quantile(scores, lost, method="lower")) if len(scores) else 0.0
-    return Model(languages, table, bias, temperature, reject)
+    return embedding, weights, bias
 
 
 def fit(
@@ -193,9 +226,10 @@ def fit(
     most: int = 4000,
     **how,
 ) -> Model:
-    """Learn from at most per_language rows of a language and `most` rows in all; null labels and
-    null texts aren't learnt from."""
-    return train(labelled(docs, per_language, most, text_col, lang_col, id_col), **how)
+    """Learn from at most per_language rows of a language and `most` rows in all, from their whole texts;
+    null labels and null texts aren't learnt from. Of more than most / 8 languages, the most frequent
+    are learnt."""
+    return train(labelled(docs, per_language, most, text_col, lang_col, id_col, how.get("buckets", BUCKETS)), **how)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, rejected: bool | None = None) -> DataFrame:

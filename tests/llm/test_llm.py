@@ -501,6 +501,51 @@ def test_language(spark, docs, empty):
     assert language.predict(docs, language.fit(empty)).count() == docs.count() and language.predict(empty, model).count() == 0
 
 
+def brute_subwords(text, buckets):
+    """Bucket counts character by character."""
+    out, c, mask = {}, [x if x.isalpha() else " " for x in text.lower()], (1 << 64) - 1
+    for n in range(1, 5):
+        for k in range(len(c) - n + 1):
+            part, h = c[k : k + n], 0
+            if part[0] == " " and part[-1] == " ":
+                continue
+            for m, x in enumerate(part):
+                h = (h * 0x100000001B3 + ord(x) + m + 1) & mask
+            h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & mask
+            out[(h >> 40) % buckets] = out.get((h >> 40) % buckets, 0) + 1
+    return out
+
+
+def test_predictions_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    ts = ["the ring on it, the er", "eine Schule und chß", "que ció, ñ os 12", "a", "é é é, ü", "x" * 50, "Tab\tand\nline"]
+    rows = []
+    for k, t in enumerate(ts * 6):
+        for index, share, whole in language.views(t, 512):
+            rows.append((index, share, k % 3, whole))
+    embedding, weights, bias = language.learn(rows, 3, 512, 6, 3, 5.0, 4, 1)
+    model = language.Model(["aa", "bb", "cc"], (embedding @ weights).astype(np.float32), bias, 0.7, 0.4)
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language.predict(df, model).collect()}
+    for k, t in enumerate(ts):
+        counts = brute_subwords(t, 512)
+        mean = sum(embedding[b].astype(float) * n for b, n in counts.items()) / sum(counts.values())
+        raw = (mean @ weights + bias) / 0.7
+        p = np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+        assert got[k].lang_pred == model.languages[int(p.argmax())] and abs(got[k].score - p.max()) < 1e-4 and got[k].rejected == (p.max() < 0.4)
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(None, "same text", "aa")] * 400 + [(7, f"t {k}", "bb") for k in range(400)] + [(k, None, "aa") for k in range(5)] + [(1, "the end " * 10 + "zz", None)]
+    sample = language.labelled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50, 4000, "text", "lang", "doc_id", 512)
+    counts = [sum(lang == x for lang, _ in sample) for x in ("aa", "bb")]
+    assert all(35 <= n <= 50 for n in counts)
+    # a text is learnt from whole
+    long = "ab " * 30_000 + "ñç"
+    whole = language.views(long, 512)[0]
+    assert len(whole[0]) == len(brute_subwords(long, 512))
+
+
 def test_subwords_across_chunks(monkeypatch):
     text = "aé ñb" * 700
     whole = language.subwords(text, 1 << 12)
