@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from siftlake.llm.licenses import RULES as LICENSE_RULES
 from siftlake.llm.licenses import SENTENCES, TRIGGERS, normalise
-from siftlake.llm.urls import DEPTH, MAX_CHILDREN, PRIOR, Z
+from siftlake.llm.urls import DEPTH, DIGITS, KIN, PRIOR, Z
 from siftlake.llm.urls import RULES as URL_RULES
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,20 +60,27 @@ FROM (SELECT *, list_filter([{found}], lambda x, i: x IS NOT NULL AND NOT list_c
 
 def _op4() -> str:
     rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
-    keys = [f"s{d}" for d in range(1, DEPTH + 1)]
-    segments = ", ".join(f"coalesce(parts[{d}], '') AS s{d}" for d in range(1, DEPTH + 1))
-    levels, last = "", "t0"
-    for d in range(1, DEPTH + 1):
+    smoothed = lambda total, n, before, weight: f"round(({total} + {weight} * {before}) / ({n} + {weight}), {DIGITS})"
+    levels = ""
+    for d in range(DEPTH + 1):
+        rate = f"CASE WHEN c_lab > 0 THEN round(c_blk / c_lab, {DIGITS}) END"
         levels += f"""
-k{d} AS (SELECT host, template, s{d}, sum(lab) AS c_lab, sum(blk) AS c_blk FROM {last} GROUP BY ALL),
-w{d} AS (SELECT host, template, count(*) AS kids, sum(c_lab) AS p_lab, sum(c_blk) AS p_blk FROM k{d} GROUP BY ALL),
-e{d} AS (SELECT k{d}.host, k{d}.template, s{d}, CASE WHEN s{d} = '' THEN ''
-      WHEN kids > {MAX_CHILDREN} OR coalesce(abs(c_blk / nullif(c_lab, 0) - p_blk / nullif(p_lab, 0))
-         <= {Z} * sqrt((p_blk / nullif(p_lab, 0)) * (1 - p_blk / nullif(p_lab, 0)) / nullif(c_lab, 0)), false) THEN '/*'
-      ELSE '/' || s{d} END AS step FROM k{d} JOIN w{d} ON k{d}.host = w{d}.host AND k{d}.template = w{d}.template),
-t{d} AS (SELECT t.* EXCLUDE (template), t.template || e.step AS template FROM {last} t JOIN e{d} e
-      ON t.host = e.host AND t.template = e.template AND t.s{d} = e.s{d}),"""
-        last = f"t{d}"
+a{d} AS (SELECT *, coalesce(parts[{d + 1}], '') AS s, array_to_string(parts[1:{d + 1}], '/') AS pre FROM t{d} WHERE NOT over),
+s{d} AS (SELECT pre, sum(lab) AS s_lab, sum(blk) AS s_blk FROM a{d} GROUP BY pre),
+k{d} AS (SELECT host, template, s, sum(lab) AS c_lab, sum(blk) AS c_blk, count(*) AS c_rows FROM a{d} GROUP BY ALL),
+w{d} AS (SELECT host, template, sum(c_lab) AS p_lab, sum(c_blk) AS p_blk, sum(c_rows) AS p_rows, coalesce(sum({rate}), 0.0) AS rates, count({rate}) AS rated FROM k{d} GROUP BY ALL),
+e{d} AS (SELECT a.* EXCLUDE (s, pre), a.s, s_lab, s_blk, c_lab, c_blk, p_lab, p_blk, rates, rated, p_rows = 1 AS alone, len(parts) <= {d} AS last
+      FROM a{d} a JOIN s{d} ON a.pre = s{d}.pre JOIN k{d} ON a.host = k{d}.host AND a.template = k{d}.template AND a.s = k{d}.s
+      JOIN w{d} ON a.host = w{d}.host AND a.template = w{d}.template),
+t{d + 1} AS (SELECT host, general, parts, lab, blk,
+      template || CASE WHEN alone THEN array_to_string(list_transform(parts[{d + 1}:], lambda x: '/' || x), '')
+         WHEN s = '' THEN '' WHEN coalesce(round(abs(c_blk / nullif(c_lab, 0) - p_blk / nullif(p_lab, 0)), {DIGITS})
+           <= round({Z} * sqrt((p_blk / nullif(p_lab, 0)) * (1 - p_blk / nullif(p_lab, 0)) / nullif(c_lab, 0)), {DIGITS}), false) THEN '/*'
+         WHEN c_lab = 0 AND s_lab = 0 THEN '/?' ELSE '/' || s END AS template,
+      CASE WHEN last THEN shape ELSE {smoothed("s_blk", "s_lab", "shape", PRIOR)} END AS shape,
+      CASE WHEN last THEN kin ELSE {smoothed("rates", "rated", "kin", KIN)} END AS kin, alone OR last AS over FROM e{d}),"""
+    ready = " UNION ALL ".join(f"SELECT host, general, template, lab, blk, shape, kin FROM t{d + 1} WHERE over" for d in range(DEPTH + 1))
+    host_rate = f"CASE WHEN lab > 0 THEN round(blk / lab, {DIGITS}) END"
     return rf"""
 WITH rules(verdict, rule, name, start) AS (VALUES {rules}),
 u AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url FROM pages),
@@ -83,14 +90,16 @@ f AS (SELECT rid, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rul
       ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY rid),
 g AS (SELECT p.*, f.rule, f.verdict, list_filter(string_split(regexp_replace(regexp_replace(path, '[0-9a-f]{{12,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g'), '/'), lambda x: x <> '') AS parts
       FROM p LEFT JOIN f ON p.rid = f.rid),
-s AS (SELECT rid, page_id, host, path, rule, verdict, {segments}, CASE WHEN len(parts) > {DEPTH} THEN '/**' ELSE '' END AS rest FROM g),
-t0 AS (SELECT host, {", ".join(keys)}, rest, '' AS template, count(verdict) AS lab, count(*) FILTER (WHERE verdict = 'block') AS blk FROM s GROUP BY ALL),{levels}
-z AS (SELECT coalesce(sum(blk) / nullif(sum(lab), 0), 0.0) AS share FROM t0),
-j AS (SELECT *, template || rest AS full_template FROM {last}),
-q AS (SELECT host, full_template, (sum(blk) + {PRIOR} * any_value(share)) / (sum(lab) + {PRIOR}) AS purity FROM j, z GROUP BY ALL)
-SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.verdict, CASE WHEN q.purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, j.full_template AS template
-FROM s JOIN j ON s.host = j.host AND s.rest = j.rest AND {" AND ".join(f"s.{k} = j.{k}" for k in keys)}
-JOIN q ON j.host = q.host AND j.full_template = q.full_template
+c AS (SELECT host, parts, array_to_string(parts, '/') AS general, count(verdict) AS lab, count(*) FILTER (WHERE verdict = 'block') AS blk FROM g GROUP BY ALL),
+z AS (SELECT round(coalesce(sum(blk) / nullif(sum(lab), 0), 0.0), {DIGITS}) AS share FROM c),
+h AS (SELECT host, CASE WHEN contains(host, '.') THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS site, sum(lab) AS lab, sum(blk) AS blk FROM c GROUP BY ALL),
+v AS (SELECT site, coalesce(sum({host_rate}), 0.0) AS rates, count({host_rate}) AS rated FROM h GROUP BY site),
+t0 AS (SELECT c.*, '' AS template, share AS shape, {smoothed("rates", "rated", "share", KIN)} AS kin, false AS over
+      FROM c JOIN h ON c.host = h.host JOIN v ON h.site = v.site, z),{levels}
+j AS ({ready}),
+q AS (SELECT host, template, {smoothed("sum(blk)", "sum(lab)", "((avg(shape) + max(kin)) / 2)", PRIOR)} AS purity FROM j GROUP BY ALL)
+SELECT g.page_id, g.host, g.path, g.rule, coalesce(g.verdict, CASE WHEN q.purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, j.template
+FROM g JOIN j ON g.host = j.host AND array_to_string(g.parts, '/') = j.general JOIN q ON j.host = q.host AND j.template = q.template
 """
 
 

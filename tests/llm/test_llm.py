@@ -385,6 +385,31 @@ def test_labelled_branches_stay_apart_at_any_fan_out(spark):
     assert len({got[2000 + k][1] for k in range(25)}) == 1
 
 
+def test_verdicts_back_off_where_there_are_no_labels(spark):
+    # labelled: /ads/ of many hosts is bad and /news/ good; every host of bad.org is bad; the rest is good
+    rows = [(k, f"http://h{k % 7}.{'com' if k % 2 else 'org'}/{'ads' if k % 3 == 0 else 'news'}/{k}", k % 3 == 0) for k in range(180)]
+    rows += [(200 + k, f"http://s{k % 8}.bad.org/p{chr(97 + k % 5)}x/{k}", True) for k in range(80)]
+    rows += [(400 + k, f"http://mixed.net/{chr(97 + k % 10)}{'z' * (k % 10)}/{k}", k % 10 < 9) for k in range(100)]
+    asked = {
+        1000: ("http://new.net/ads/5", "block"),  # the path's rate on other hosts
+        1001: ("http://new.net/news/5", "allow"),
+        1002: ("http://s99.bad.org/other/5", "block"),  # the site's hosts
+        1003: ("http://new2.net/other/5", "allow"),  # nothing but the global share
+        1004: ("http://mixed.net/unknown/5", "block"),  # its host's other branches
+        1005: ("http://h1.com/ads/99999", "block"),
+        1006: ("http://h1.com/news/99999", "allow"),
+    }
+    rows += [(k, u, None) for k, (u, _) in asked.items()] + [(2000 + k, f"http://good{k}.net/x{chr(97 + k % 26)}/1", False) for k in range(150)]
+    got = {r.page_id: r.verdict for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, label boolean"), label_col="label").collect()}
+    assert {k: got[k] for k in asked} == {k: v for k, (_, v) in asked.items()}
+
+
+def test_url_columns_that_clash(spark):
+    rows = [(k, f"http://h.net/{'es' if k % 2 else 'xx'}/{k}", "h", "p", 1, 2.0, "t") for k in range(20)] + [(None, None, None, None, None, None, None), (3, "http://h.net/es/3", "h", "p", 1, 2.0, "t")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, general string, lab int, kin double, template string")
+    assert urls.url_filter(df).count() == 22
+
+
 def test_tree_goes_down_to_the_last_segment(spark):
     rows = [(k, f"http://h.org/a/b/c/d/{'bad' if k % 2 else 'good'}/{k}", bool(k % 2)) for k in range(60)]
     rows += [(200, "http://h.org/a/b/c/d/bad/999", None), (201, "http://h.org/a/b/c/d/good/999", None), (202, "http://h.org/" + "t/" * 30 + "x", None), (203, "http://h.org/a/b/c", None)]
