@@ -387,7 +387,7 @@ def test_labelled_branches_stay_apart_at_any_fan_out(spark):
 
 def test_verdicts_back_off_where_there_are_no_labels(spark):
     # labelled: /ads/ of many hosts is bad and /news/ good; every host of bad.org is bad; the rest is good
-    rows = [(k, f"http://h{k % 7}.{'com' if k % 2 else 'org'}/{'ads' if k % 3 == 0 else 'news'}/{k}", k % 3 == 0) for k in range(180)]
+    rows = [(k, f"http://h{k % 7}.{'info' if k % 2 else 'org'}/{'ads' if k % 3 == 0 else 'news'}/{k}", k % 3 == 0) for k in range(180)]
     rows += [(200 + k, f"http://s{k % 8}.bad.org/p{chr(97 + k % 5)}x/{k}", True) for k in range(80)]
     rows += [(400 + k, f"http://mixed.net/{chr(97 + k % 10)}{'z' * (k % 10)}/{k}", k % 10 < 9) for k in range(100)]
     asked = {
@@ -396,8 +396,8 @@ def test_verdicts_back_off_where_there_are_no_labels(spark):
         1002: ("http://s99.bad.org/other/5", "block"),  # the site's hosts
         1003: ("http://new2.net/other/5", "allow"),  # nothing but the global share
         1004: ("http://mixed.net/unknown/5", "block"),  # its host's other branches
-        1005: ("http://h1.com/ads/99999", "block"),
-        1006: ("http://h1.com/news/99999", "allow"),
+        1005: ("http://h1.info/ads/99999", "block"),
+        1006: ("http://h1.info/news/99999", "allow"),
     }
     rows += [(k, u, None) for k, (u, _) in asked.items()] + [(2000 + k, f"http://good{k}.net/x{chr(97 + k % 26)}/1", False) for k in range(150)]
     got = {r.page_id: r.verdict for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, label boolean"), label_col="label").collect()}
