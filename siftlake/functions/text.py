@@ -170,10 +170,13 @@ def redact(value: Column, style: str = "finding") -> Column:
 
 
 def redact_level(value: Column, level: int) -> Column:
-    """Hide `level` percent of the characters, from the end."""
+    """Hide `level` percent of the characters, from the end: two at least are shown and one is hidden.
+    At level 0 all is shown; at 100, and of values of up to 8 characters, nothing."""
+    if level <= 0:
+        return value
     n = F.length(value)
-    shown = F.floor(n * F.lit(max(0, min(100, 100 - level))) / 100).cast("int")
-    return F.concat(F.substring(value, F.lit(1), shown), F.repeat(F.lit("*"), n - shown))
+    shown = F.least(F.greatest(F.floor(n * F.lit(max(0, 100 - level)) / 100).cast("int"), F.lit(2)), n - 1)
+    return F.when((n <= 8) | F.lit(level >= 100), F.lit("****")).otherwise(F.concat(F.substring(value, F.lit(1), shown), F.repeat(F.lit("*"), n - shown)))
 
 
 def fingerprint(file: Column, line: Column, detector: Column, value: Column) -> Column:

@@ -81,3 +81,42 @@ def health(checks: DataFrame) -> DataFrame:
 def dataset_balance(samples: DataFrame) -> DataFrame:
     g = samples.groupBy("source").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"))
     return g.withColumn("ratio", F.col("positives") / F.greatest(F.col("negatives"), F.lit(1)))
+
+
+def scan_metrics(files: DataFrame, candidates: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: files scanned and skipped (scanned boolean), bytes, tokens, findings, and findings by
+    provenance and severity as maps. Only counts meet."""
+    f = files.agg(F.count_if("scanned").alias("files_scanned"), F.count_if(~F.col("scanned")).alias("files_skipped"), F.coalesce(F.sum(F.when(F.col("scanned"), F.col("length"))), F.lit(0)).alias("bytes_processed"))
+    c = candidates.agg(F.count(F.lit(1)).alias("tokens_extracted"))
+    by = lambda d: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("dimension") == d, F.struct("key", "n")))))
+    g = counts(findings, ["provenance", "severity"]).agg(F.coalesce(F.sum(F.when(F.col("dimension") == "provenance", F.col("n"))), F.lit(0)).alias("findings_total"), by("provenance").alias("by_provenance"), by("severity").alias("by_severity"))
+    return f.crossJoin(c).crossJoin(g)
+
+
+def scan_counters(analyzed: DataFrame) -> DataFrame:
+    """One row: candidates looked at, suppressed among them, and found secrets."""
+    suppressed = F.col("verdict").isin("SUPPRESSED", "LIKELY_FALSE_POSITIVE")
+    return analyzed.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(suppressed).alias("suppressed"), F.count_if("is_secret").alias("found"))
+
+
+def metric_totals(metrics: DataFrame) -> DataFrame:
+    """(name, total): metrics (name, labels, value) summed over their labels."""
+    return metrics.groupBy("name").agg(F.sum("value").alias("total"))
+
+
+def bars(counted: DataFrame, top: int = 0) -> DataFrame:
+    """(key, n, share): the largest first, each with its share of the total."""
+    whole = counted.agg(F.sum("n")).first()[0] or 0
+    out = counted.select("key", "n", F.round(F.col("n") / F.lit(max(whole, 1)), 4).alias("share")).orderBy(F.desc("n"), "key")
+    return out.limit(top) if top else out
+
+
+def duration_text(seconds: Column) -> Column:
+    """1h 2m 3s, 2m 3s, 3.4s or 120ms."""
+    s = F.floor(seconds).cast("long")
+    return (
+        F.when(seconds < 1, F.concat(F.round(seconds * 1000).cast("long").cast("string"), F.lit("ms")))
+        .when(seconds < 60, F.format_string("%.1fs", seconds.cast("double")))
+        .when(seconds < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60))
+        .otherwise(F.format_string("%dh %dm %ds", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
+    )

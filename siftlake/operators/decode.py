@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.functions import vocab as V
+from siftlake.sources.store import cut
 
 _ROW = "array<struct<content:string,encoding:string>>"
 
@@ -56,12 +57,19 @@ def variants(files: DataFrame, content_col: str = "content") -> DataFrame:
 
 
 def chain(files: DataFrame, depth: int = 5, content_col: str = "content") -> DataFrame:
-    """(path, content, encoding, depth): decodings of decodings, each content of a path once."""
+    """(path, content, encoding, depth): decodings of decodings, each content of a path once.
+
+    Each level is written before the next one reads it, so nothing is decoded twice; only decoded
+    contents are shuffled, and digests of the rest. It ends at a level with nothing new.
+    """
     key = F.sha2("content", 256)
-    seen = files.select("path", F.col(content_col).alias("content"), F.lit("plain").alias("encoding"), F.lit(0).alias("depth")).withColumn("key", key)
-    level = seen
+    out = level = files.select("path", F.col(content_col).alias("content"), F.lit("plain").alias("encoding"), F.lit(0).alias("depth"))
+    seen = level.select("path", key.alias("key"))
     for d in range(1, depth + 1):
         new = variants(level).where("encoding <> 'plain'").withColumns({"depth": F.lit(d), "key": key}).dropDuplicates(["path", "key"])
-        level = new.join(seen.select("path", "key"), ["path", "key"], "left_anti").select("path", "content", "encoding", "depth", "key")
-        seen = seen.unionByName(level)
-    return seen.drop("key")
+        new = cut(new.join(seen, ["path", "key"], "left_anti").select("path", "content", "encoding", "depth", "key"))
+        if new.isEmpty():
+            break
+        level, seen = new.drop("key"), seen.unionByName(new.select("path", "key"))
+        out = out.unionByName(level)
+    return out

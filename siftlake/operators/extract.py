@@ -85,7 +85,7 @@ def extract(files: DataFrame, content_col: str = "content") -> DataFrame:
     return found.withColumn("c", first).select("path", "line_no", "line", F.posexplode("c").alias("ord", "c")).select("path", "line_no", "line", "ord", "c.*")
 
 
-_WORD = r"[A-Za-z_][0-9A-Za-z_]*"
+_WORD = r"[A-Za-z_]\w*"
 _ASSIGN = rf"({_WORD}){S}*={S}*"
 # Fixed values, heuristic patterns.
 CONCAT_2 = _ASSIGN + rf'"([^"]*?)"{S}*\+{S}*"([^"]*?)"' + rf'(?:{S}*\+{S}*"([^"]*?)")?' * 4
@@ -103,10 +103,12 @@ CODECS = _ASSIGN + rf"""codecs\.decode\({S}*["']([^"']{{8,}})["']{S}*,{S}*["']ro
 INI = rf"^{S}*(aws_access_key_id|aws_secret_access_key|aws_session_token|password|secret|token|api_key|secret_key|access_key|private_key|auth_token|client_secret|client_id){S}*={S}*([^\t\n\f\r #]{{8,}})"
 ENCODED_URL = r"""((?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|mssql)://[^\t\n\f\r "']+%[0-9a-fA-F]{2}[^\t\n\f\r "']*)"""
 VARIABLE = rf"""^[^#/]*?({_WORD}){S}*={S}*["']([^"']{{1,512}})["']"""
+#: What f-strings and % templates refer to: values from 4 characters on.
+TEMPLATE_VARIABLE = rf"""^[^#/]*?({_WORD}){S}*={S}*["']([^"']{{4,}})["']"""
 CROSS_CONCAT = _ASSIGN + rf"""({_WORD}){S}*\+{S}*({_WORD}|"[^"]*"|'[^']*')"""
 B64_CALL = rf"(?:base64\.b64decode|base64\.decodebytes|atob|Base64\.decode64|base64\.StdEncoding\.DecodeString|Buffer\.from){S}*\({S}*({_WORD})"
 FSTRING = _ASSIGN + r"""f["']([^\n]+?)["']"""
-PERCENT = _ASSIGN + rf"""([0-9A-Za-z_]+){S}*%{S}*["']([^"']+)["']"""
+PERCENT = _ASSIGN + rf"""(\w+){S}*%{S}*["']([^"']+)["']"""
 INLINE_JOIN = _ASSIGN + r"""["']?["']?\.join\(\[([^\n]+?)\]\)"""
 BYTES_LIST = rf"({_WORD}){S}*={S}*(?:bytes|bytearray){S}*\({S}*\[([^\]]+)\]"
 LIST_START = rf"^[^#]*?({_WORD}){S}*={S}*\["
@@ -149,10 +151,10 @@ def _line_candidates(line: Column, path: Column, xml: Column) -> Column:
     )
 
 
-def variables(files: DataFrame, content_col: str = "content") -> DataFrame:
+def variables(files: DataFrame, content_col: str = "content", pattern: str = VARIABLE) -> DataFrame:
     """(path, var, value): the last quoted assignment of each variable of a file."""
-    rows = lines(files, content_col).withColumn("var", F.regexp_extract("line", VARIABLE, 1)).where("var <> ''")
-    return rows.groupBy("path", "var").agg(F.max_by(F.regexp_extract("line", VARIABLE, 2), "line_no").alias("value"))
+    rows = lines(files, content_col).withColumn("var", F.regexp_extract("line", pattern, 1)).where("var <> ''")
+    return rows.groupBy("path", "var").agg(F.max_by(F.regexp_extract("line", pattern, 2), "line_no").alias("value"))
 
 
 def _file_candidates(files: DataFrame, rows: DataFrame, content_col: str) -> DataFrame:
@@ -168,9 +170,10 @@ def _file_candidates(files: DataFrame, rows: DataFrame, content_col: str) -> Dat
     decoded = F.try_validate_utf8(F.try_to_binary(F.col("value"), F.lit("base64")).cast("string"))
     calls = calls.where(strict).withColumn("value", decoded).where("octet_length(value) >= 8").withColumn("var_name", F.concat("var", F.lit("_b64decoded")))
     formats = rows.select("path", "line_no", "line", *[F.regexp_extract("line", PERCENT, k).alias(n) for k, n in ((1, "var_name"), (2, "var"), (3, "argument"))]).where("var_name <> ''")
-    formats = formats.join(held, ["path", "var"]).withColumn("value", F.replace("value", F.lit("%s"), F.col("argument"))).where("octet_length(value) >= 8")
+    templates = variables(files, content_col, TEMPLATE_VARIABLE)
+    formats = formats.join(templates, ["path", "var"]).withColumn("value", F.replace("value", F.lit("%s"), F.col("argument"))).where("octet_length(value) >= 8")
     filled = rows.select("path", "line_no", "line", *[F.regexp_extract("line", FSTRING, k).alias(n) for k, n in ((1, "var_name"), (2, "template"))]).where("template rlike '[{]'")
-    names = held.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("var", "value"))).alias("held"))
+    names = templates.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("var", "value"))).alias("held"))
     replaced = F.aggregate("held", F.col("template"), lambda a, v: F.replace(a, F.concat(F.lit("{"), v["var"], F.lit("}")), v["value"]))
     filled = filled.join(names, "path").withColumn("value", replaced).where("value <> template and octet_length(value) >= 8")
     inline = rows.select("path", "line_no", "line", F.regexp_extract("line", INLINE_JOIN, 1).alias("var_name"), F.array_join(F.regexp_extract_all(F.regexp_extract("line", INLINE_JOIN, 2), F.lit("[\"']([^\"']+)[\"']"), F.lit(1)), "").alias("value"))

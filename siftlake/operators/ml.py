@@ -70,21 +70,77 @@ def onnx_score(rows: DataFrame, model_path: str, vocab_path: str, text_col: str
     return rows.mapInPandas(run, schema)
 
 
-CANDIDATE_LINE = r"""(?i)(?:key|token|secret|passw(?:or)?d|pwd|auth|credential|dsn)[a-z0-9_.-]*[\t ]*[:=]|-----BEGIN [A-Z ]*PRIVATE KEY|://[^:\s]+:[^@\s]+@|["'][A-Za-z0-9+/=_-]{20,}["']"""
+#: A line that one of these finds is a candidate for training.
+CANDIDATE_PATTERNS = [
+    r"""([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*["']([^"']{8,})["']""",
+    r"export\s+([A-Z_][A-Z0-9_]*)\s*=\s*(\S{8,})",
+    r"^([A-Z_][A-Z0-9_]*)\s*=\s*([^\s#]{8,})",
+    r'"([A-Za-z_]\w*)"\s*:\s*"([^"]{8,})"',
+    r"(-----BEGIN\s+\w[\w ]*PRIVATE\s+KEY-----)",
+    r"((?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|mssql)://\S+)",
+    r"//registry\.npmjs\.org/:_authToken=([A-Za-z0-9_-]{36,})",
+    r"(Server=[^;]+;.*Password=[^;]+)",
+]
 
 
-def training_samples(files: DataFrame, truth: DataFrame, source: str, around: int = 10, negatives_per_file: int = 3, content_col: str = "content") -> DataFrame:
+def candidate_line(line: Column) -> Column:
+    return T.any_of(line.rlike(p) for p in CANDIDATE_PATTERNS)
+
+
+def training_samples(files: DataFrame, truth: DataFrame, source: str, around: int = 10, negatives_per_file: int = 3, most_negatives: int | None = None, content_col: str = "content") -> DataFrame:
     """(text, label, source, file, line): windows of candidate lines; truth (path, line_no, label) gives
-    labels, the rest are negatives, at most negatives_per_file of a file, lowest lines first."""
+    labels, the rest are negatives, at most negatives_per_file of a file, lowest lines first, and
+    most_negatives in all, by a hash of their place."""
     from pyspark.sql import Window
 
     rows = files.select("path", F.col(content_col).alias("content"), F.posexplode(F.split(content_col, "\n", -1)).alias("n", "line")).withColumn("line_no", F.col("n") + 1)
-    rows = rows.join(truth, ["path", "line_no"], "left").where(F.col("label").isNotNull() | F.col("line").rlike(CANDIDATE_LINE))
+    rows = rows.join(truth, ["path", "line_no"], "left").where(F.col("label").isNotNull() | candidate_line(F.col("line")))
     known = F.col("label").isNotNull()
     rank = F.row_number().over(Window.partitionBy("path", known).orderBy("line_no"))
     rows = rows.withColumn("rank", rank).where(known | (F.col("rank") <= negatives_per_file))
     out = rows.select(context_window(F.col("content"), F.col("line_no"), around).alias("text"), F.coalesce("label", F.lit(0)).alias("label"), F.lit(source).alias("source"), F.col("path").alias("file"), F.col("line_no").alias("line"))
-    return out.dropDuplicates(["source", "file", "line"])
+    out = out.dropDuplicates(["source", "file", "line"])
+    if most_negatives is None:
+        return out
+    extra = out.where("label = 0").orderBy(F.xxhash64("file", "line"), "file", "line").limit(most_negatives)
+    return out.where("label <> 0").unionByName(extra)
+
+
+def dataset(*samples: DataFrame, seed: int = 42) -> DataFrame:
+    """All samples, one of each source, file and line, in an order that the seed fixes."""
+    from functools import reduce
+
+    rows = reduce(DataFrame.unionByName, samples).dropDuplicates(["source", "file", "line"])
+    return rows.orderBy(F.xxhash64("source", "file", "line", F.lit(seed)), "source", "file", "line")
+
+
+def load_model(folder: str) -> dict:
+    """What a model folder has: metadata, vocabulary and mode (onnx, or heuristic without a model)."""
+    import json
+    from pathlib import Path
+
+    at = Path(folder)
+    meta = json.loads((at / "metadata.json").read_text()) if (at / "metadata.json").exists() else {}
+    if not (at / "vocab.txt").exists():
+        raise FileNotFoundError(f"{folder} has no vocab.txt")
+    model = at / "model.onnx"
+    return {"metadata": meta, "vocab": str(at / "vocab.txt"), "model": str(model) if model.exists() else None, "mode": "onnx" if model.exists() else "heuristic"}
+
+
+def predict_lines(files: DataFrame, at: DataFrame, model: dict | None = None, around: int = 10) -> DataFrame:
+    """(path, line_no, ml_label, ml_score) of places (path, line_no), by a model or by keywords."""
+    rows = files.join(at, "path").select("path", "line_no", context_window(F.col("content"), F.col("line_no"), around).alias("window"))
+    if model and model["mode"] == "onnx":
+        return onnx_score(rows, model["model"], model["vocab"]).drop("window")
+    return rows.select("path", "line_no", keyword_score(F.col("window")).alias("s")).select("path", "line_no", F.col("s.label").alias("ml_label"), F.col("s.confidence").alias("ml_score"))
+
+
+def training_gate(samples: DataFrame, artifacts: list[str] = (), least: int = 50) -> list[str]:
+    """What keeps a training from going on: too few samples, or artifacts that aren't there."""
+    from pathlib import Path
+
+    n = samples.limit(least).count()
+    return ([f"{n} samples, {least} are needed"] if n < least else []) + [f"{a} is missing" for a in artifacts if not Path(a).exists()]
 
 
 def scores(predictions: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:

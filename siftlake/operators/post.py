@@ -173,3 +173,11 @@ def ui_filter(findings: DataFrame, severity: str | None = None, provenance: str
 
 def page(rows: DataFrame, number: int, order: list, size: int = 50) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def sort_by(rows: DataFrame, field: str, descending: bool = False) -> DataFrame:
+    """rows by a field, strings without regard to case; ties keep an order by all columns."""
+    kind = dict(rows.dtypes)[field]
+    key = F.lower(field) if kind == "string" else F.col(field)
+    plain = [c for c, t in rows.dtypes if not t.startswith(("map", "variant"))]
+    return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), *plain)

@@ -11,8 +11,9 @@ from siftlake.functions import text as T
 from siftlake.functions import vocab as V
 from siftlake.operators import analytics, decode, extract, fp, ml, post, rules, signals
 from siftlake.plans import oracle as O
-from siftlake.plans import pipeline
+from siftlake.plans import pipeline, planted
 from siftlake.sources import files as sources
+from siftlake.sources.store import cut
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -106,7 +107,7 @@ def dedup_earliest(spark, sf_dir):
 def baseline_anti(spark, sf_dir):
     """Findings that are new against a baseline of the documents of even id."""
     t = rules.classify(pipeline.candidates(_docs(spark, sf_dir))).withColumn("detector", F.col("morphology"))
-    t = post.with_fingerprint(t)
+    t = cut(post.with_fingerprint(t).select("path", "line_no", "morphology", "detector", "fingerprint"))
     old = t.where(F.regexp_extract("path", "doc_([0-9]+)", 1).cast("long") % 2 == 0)
     return post.new_findings(t, post.baseline_of(old)).select("path", "line_no", "morphology")
 
@@ -160,16 +161,47 @@ def fp_signals(spark, sf_dir):
     return fp.apply(t.where(~crypto), fp.file_context(docs)).select("path", "line_no", "var_name", F.round("fp_adj", 2).alias("fp_adj"))
 
 
-@query()
+_CRYPTO = f"""({O.contains_any('lower(var_name)', ["nist", "test_vector", "test_key", "test_iv", "test_tag", "test_nonce"])}
+  OR ({O.contains_any(_LOW, ["fromhex", "from_hex", "hex_decode", "unhexlify"])} AND {O.contains_any('lower(var_name)', ["key", "iv", "nonce", "tag", "cipher", "plain"])})
+  OR ((lower(var_name) = 'key' OR ends_with(lower(var_name), '_key') OR starts_with(lower(var_name), 'key_')) AND regexp_matches(value, '^[0-9a-fA-F]+$') AND strlen(value) IN ({', '.join(map(str, V.CRYPTO_KEY_LENGTHS))})
+    AND ({O.contains_any('content', V.CRYPTO_IMPORTS)} OR coalesce(list_bool_or(list_transform(parts[greatest(first - 5, 1):first + 4], lambda x: {O.contains_any('lower(x)', [y for s in V.CRYPTO_SIBLINGS for y in (f'"{s}"', f"'{s}'", f"{s}:", f"{s} =")])})), false))))"""
+_ADJUSTMENT = _FP[_FP.index("round(CASE") + 6 : _FP.index(", 2) AS fp_adj")].replace("  ELSE CASE", f"  WHEN {_CRYPTO} THEN -1.0 ELSE CASE")
+_SCANNED = f"""
+SELECT *, least(greatest(confidence + adj, 0), 1) AS final FROM (SELECT * EXCLUDE (provenance, confidence), CAST({_ADJUSTMENT} AS DOUBLE) AS adj,
+  CASE WHEN provenance = 'UNCERTAIN' AND s >= 0.7 THEN 'AUTH_CREDENTIAL' WHEN provenance = 'UNCERTAIN' AND s < 0.55 AND s >= 0.8 THEN 'DOC_EXAMPLE' ELSE provenance END AS provenance,
+  CASE WHEN provenance = 'UNCERTAIN' THEN CASE WHEN s >= 0.7 THEN greatest(confidence, s * 0.85) WHEN s < 0.55 AND s >= 0.8 THEN 1 - s WHEN s >= 0.55 THEN least(confidence + (s - 0.5) * 0.4, 0.95)
+    WHEN s < 0.55 AND s >= 0.6 THEN greatest(confidence - (s - 0.5) * 0.3, 0.05) ELSE confidence END ELSE confidence END AS confidence
+  FROM (SELECT c.*, d.parts, d.content, list_position(list_transform(d.parts, lambda x: contains(x, c.value)), true) AS first, w.s FROM ({_CLASSIFIED}) c
+    JOIN (SELECT {_PATH_SQL} AS path, string_split(coalesce(text, ''), chr(10)) AS parts, lower(coalesce(text, '')) AS content FROM documents) d ON c.path = d.path
+    JOIN (SELECT DISTINCT path, line_no, {O.keyword_score('w')} AS s FROM ({_WINDOWS})) w ON c.path = w.path AND c.line_no = w.line_no
+    WHERE c.provenance IN ('AUTH_CREDENTIAL', 'UNCERTAIN') AND NOT {O.not_secret('value')} AND NOT contains(lower(line), 'siftlake:allow') AND NOT contains(lower(line), 'siftlake:ignore')))
+"""
+_FINDINGS = f"""
+SELECT *, CASE WHEN verdict IN ('SUPPRESSED', 'LIKELY_FALSE_POSITIVE') THEN CASE WHEN final >= 0.5 THEN 'low' ELSE 'none' END WHEN final >= 0.9 THEN 'critical' WHEN final >= 0.7 THEN 'high' WHEN final >= 0.4 THEN 'medium' WHEN final >= 0.2 THEN 'low' ELSE 'none' END AS risk
+FROM (SELECT *, coalesce({O.ecosystem('value')}, morphology) AS detector, CASE WHEN final < 0.1 THEN 'SUPPRESSED' WHEN adj <= -0.8 THEN 'LIKELY_FALSE_POSITIVE' WHEN provenance = 'AUTH_CREDENTIAL' THEN 'LIKELY_TRUE_POSITIVE'
+  WHEN provenance = 'UNCERTAIN' THEN 'NEEDS_VERIFICATION' ELSE 'LIKELY_FALSE_POSITIVE' END AS verdict FROM ({_SCANNED})) WHERE final >= 0.3 AND verdict IN ('LIKELY_TRUE_POSITIVE', 'NEEDS_VERIFICATION')
+"""
+
+
+@query(f"SELECT path, line_no, detector, {O.redact('value')} AS matched_value, round(final, 4) AS confidence, verdict, risk, {O.severity('final')} AS severity, substr(sha256(path || ':' || line_no || ':' || detector || ':' || value), 1, 32) AS fingerprint FROM ({_FINDINGS})")
 def scan_findings(spark, sf_dir):
     """The default scan of all documents at threshold 0.3."""
     t = pipeline.scan(_docs(spark, sf_dir), 0.3, "raw")
     return t.select("path", "line_no", "detector", T.redact(F.col("value")).alias("matched_value"), F.round("confidence", 4).alias("confidence"), "verdict", "risk", "severity", "fingerprint")
 
 
-@query()
+@query(planted.HIDDEN)
 def heuristic_candidates(spark, sf_dir):
-    return extract.extract_heuristic(_docs(spark, sf_dir)).select("path", "line_no", "var_name", T.redact(F.col("value")).alias("value_redacted"))
+    """Heuristic candidates of all documents, which hold none, and of files in which they are planted."""
+    files = _docs(spark, sf_dir).unionByName(planted.planted(spark, sf_dir).select("path", "content"))
+    return extract.extract_heuristic(files).select("path", F.col("line_no").cast("int").alias("line_no"), "var_name", "value").distinct()
+
+
+@query()
+def planted_scan(spark, sf_dir):
+    """The scan of the planted files with the heuristics, at threshold 0.3."""
+    t = pipeline.scan(planted.planted(spark, sf_dir).select("path", "content"), 0.3, "raw", heuristics=True)
+    return t.select("path", "line_no", "var_name", "detector", T.redact(F.col("value")).alias("matched_value"), F.round("confidence", 4).alias("confidence"), "verdict", "risk", "severity", "fingerprint")
 
 
 @query("SELECT p_partkey, list_aggregate(atoms, 'string_agg', ',') AS atoms FROM (SELECT p_partkey, " + O.split_name("p_name") + " AS atoms FROM part)")
@@ -342,10 +374,8 @@ def conversation_candidates(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | {f.__name__: f for f in planted.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
+    return _SQL | {f.__name__: sql for f, sql in planted.SQL.items()}

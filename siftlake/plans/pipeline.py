@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import decode, extract, fp, ml, post, rules
+from siftlake.sources import files as sources
+from siftlake.sources.store import cut
 
 
 def candidates(files: DataFrame, heuristics: bool = False) -> DataFrame:
@@ -35,9 +37,11 @@ def engine_scan(files: DataFrame, threshold: float = 0.3, heuristics: bool = Fal
     return with_detector(t).where(F.col("provenance").isin(*rules.FINDING_PROVENANCES) & (F.col("confidence") >= threshold))
 
 
-def analyzed(files: DataFrame, heuristics: bool = False, variant: str = "cached", filtered: bool = True, suppress_below: float = 0.1, **org) -> DataFrame:
-    """All candidates with verdicts. `filtered` drops at once what can't be a finding."""
-    t = rules.classify(candidates(files, heuristics))
+def analyzed(files: DataFrame, heuristics: bool = False, variant: str = "cached", filtered: bool = True, suppress_below: float = 0.1, prefixes: dict[str, str] | None = None, **org) -> DataFrame:
+    """All candidates with verdicts, but those on lines with an inline marker that allows them.
+    `filtered` drops at once what can't be a finding."""
+    t = candidates(files, heuristics)
+    t = rules.classify(t.where(~post.inline_allowed(F.col("line"))), prefixes)
     if filtered:
         t = t.where(F.col("provenance").isin(*rules.FINDING_PROVENANCES) & ~T.not_secret(F.col("value")))
     t = refine(t, files)
@@ -53,7 +57,8 @@ def analyzed(files: DataFrame, heuristics: bool = False, variant: str = "cached"
 
 def scan(files: DataFrame, threshold: float = 0.7, mode: str = "default", heuristics: bool = False, policy: post.Policy | None = None, baseline: DataFrame | None = None, **how) -> DataFrame:
     """The default scan: candidates, signals, rules, false-positive evidence, verdict, threshold, policy, baseline."""
-    t = analyzed(files, heuristics, **how).withColumn("confidence", F.col("final_confidence"))
+    prefixes = policy.custom_prefixes if policy and policy.custom_prefixes else None
+    t = analyzed(files, heuristics, prefixes=prefixes, **how).withColumn("confidence", F.col("final_confidence"))
     t = post.by_mode(t.where(F.col("confidence") >= threshold), mode)
     if policy:
         t = post.should_report(t, policy)
@@ -69,11 +74,28 @@ def deep_scan(files: DataFrame, threshold: float = 0.3, depth: int = 1) -> DataF
     return engine_scan(more, threshold)
 
 
+def scan_directory(spark: SparkSession, root: str, threshold: float = 0.7, policy: post.Policy | None = None, ignore: list[str] = (), heuristics: bool = False, **how) -> DataFrame:
+    """The scan of a folder: the walk with its pruning, the policy's and the ignore file's patterns,
+    archives' members beside plain files, then scan()."""
+    found = sources.relative(sources.read_directory(spark, root), root)
+    kept = sources.scannable(found.where(~sources.is_archive(F.col("path")))).unionByName(sources.engine_scannable(found.where(sources.is_archive(F.col("path")))))
+    kept = post.should_scan(kept, policy) if policy else kept
+    kept = post.without_ignored(kept, list(ignore)) if ignore else kept
+    return scan(sources.contents(kept), threshold, heuristics=heuristics, policy=policy, **how)
+
+
+def deep_scan_directory(spark: SparkSession, root: str, threshold: float = 0.3) -> DataFrame:
+    """The engine's scan of a folder: members of archives and plain files with what they decode to.
+    A file whose handler fails or gives nothing is scanned as it is, with the heuristics."""
+    found = sources.engine_scannable(sources.relative(sources.read_directory(spark, root), root))
+    made = cut(sources.contents(found).withColumn("file", F.regexp_extract("path", r"\A([^:]*)", 1)))
+    rest = sources.as_text(found.join(made.select(F.col("file").alias("path")).distinct(), "path", "left_anti"))
+    return deep_scan(made.drop("file"), threshold).unionByName(engine_scan(rest, threshold, heuristics=True), allowMissingColumns=True)
+
+
 def diff_scan(diffs: DataFrame, threshold: float = 0.3, key: str = "commit") -> DataFrame:
     """Findings in the added lines of diffs (key, diff); line_no is the line's number in the new file."""
-    from siftlake.sources.files import diff_lines
-
-    added = diff_lines(diffs, key=key).where(extract.has_signal(F.col("content")))
+    added = sources.diff_lines(diffs, key=key).where(extract.has_signal(F.col("content")))
     t = added.select(key, "path", F.col("number").alias("line_no"), F.col("content").alias("line"), F.explode(extract.base_candidates(F.col("content"))).alias("c"))
     t = t.select(key, "path", "line_no", "line", "c.*").dropDuplicates([key, "path", "line_no", "value"])
     t = with_detector(rules.classify(t))

@@ -76,6 +76,18 @@ def read_directory(spark: SparkSession, root: str, max_bytes: int = 10_000_000)
     return found.where(F.col("length") <= max_bytes).select("path", "length", F.col("content").alias("data"))
 
 
+def relative(files: DataFrame, root: str) -> DataFrame:
+    """files with paths from root on."""
+    base = root.rstrip("/").removeprefix("file:")
+    return files.withColumn("path", F.regexp_extract("path", rf"(?:\A|:/*|(?<=/))\Q{base.lstrip('/')}\E/(.*)\z", 1))
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """(path, content) of plain files and of archives' members."""
+    plain = files.where(~is_archive(F.col("path"))).select("path", "data")
+    return as_text(plain.unionByName(explode_archives(files.where(is_archive(F.col("path"))).select("path", "data"))))
+
+
 def as_text(files: DataFrame) -> DataFrame:
     """(path, content) of files (path, data): UTF-16 by its mark, else UTF-8; binary files left out."""
     from siftlake.operators.decode import utf16

@@ -34,21 +34,23 @@ def csv_rows(findings: DataFrame) -> DataFrame:
     return findings.select("path", "line_no", "detector", F.format_string("%.4f", "confidence").alias("confidence"), "provenance", T.severity(F.col("confidence")).alias("severity"), T.redact(F.col("value")).alias("matched_value"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """SARIF results as structs: rule, level, kind, message, location and fingerprint."""
+def sarif_result() -> Column:
+    """A SARIF result: rule, level, kind, message, location and fingerprint."""
     kind = F.when(F.col("provenance") == "AUTH_CREDENTIAL", "open").when(F.col("provenance") == "UNCERTAIN", "review").otherwise("pass")
     uri = F.replace(F.replace(F.url_encode("path"), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
     place = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), F.struct(F.greatest("line_no", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
-    return findings.select(
-        F.struct(
-            F.col("detector").alias("ruleId"), T.sarif_level(F.col("confidence")).alias("level"), kind.alias("kind"),
-            F.struct(F.concat(F.col("detector"), F.lit(" "), T.redact(F.col("value"))).alias("text")).alias("message"),
-            F.array(place).alias("locations"),
-            F.struct(T.fingerprint(F.col("path"), F.col("line_no"), F.col("detector"), F.col("value")).alias("primary")).alias("fingerprints"),
-        ).alias("result")
+    return F.struct(
+        F.col("detector").alias("ruleId"), T.sarif_level(F.col("confidence")).alias("level"), kind.alias("kind"),
+        F.struct(F.concat(F.col("detector"), F.lit(" "), T.redact(F.col("value"))).alias("text")).alias("message"),
+        F.array(place).alias("locations"),
+        F.struct(T.fingerprint(F.col("path"), F.col("line_no"), F.col("detector"), F.col("value")).alias("primary")).alias("fingerprints"),
     )
 
 
+def sarif_results(findings: DataFrame) -> DataFrame:
+    return findings.select(sarif_result().alias("result"))
+
+
 def sarif(findings: DataFrame, tool: str = "siftlake", version: str = "1.0.0", most: int = 100_000) -> str:
     import json
 
@@ -65,9 +67,16 @@ def _xml(text: Column) -> Column:
     return text
 
 
-def junit_cases(findings: DataFrame) -> DataFrame:
-    name = F.concat(F.col("detector"), F.lit(" at line "), F.col("line_no").cast("string"))
-    return findings.select(F.concat(F.lit('<testcase name="'), _xml(name), F.lit('" classname="'), _xml(F.col("path")), F.lit('"><failure type="'), _xml(F.col("provenance")), F.lit('">'), _xml(T.redact(F.col("value"))), F.lit("</failure></testcase>")).alias("value"))
+def junit_cases(findings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One failed case per finding, named by its place, its class the detector."""
+    share = lambda n: F.format_string(f"%.{n}f%%", F.col("confidence") * 100)
+    place = F.concat("path", F.lit(":"), F.col("line_no").cast("string"))
+    message = F.concat(F.lit("Secret found: "), "provenance", F.lit(" ("), share(0), F.lit(" confidence)"))
+    content = F.concat(F.lit("File: "), "path", F.lit("\nLine: "), F.col("line_no").cast("string"), F.lit("\nDetector: "), "detector", F.lit("\nConfidence: "), share(1), F.lit("\nValue: "), T.redact(F.col("value")))
+    if "reasoning" in findings.columns:
+        content = F.concat(content, F.lit("\nDescription: "), F.coalesce("reasoning", F.lit("")))
+    case = F.concat(F.lit('<testcase name="'), _xml(place), F.lit('" classname="'), _xml(F.col("detector")), F.lit('" time="0"><failure message="'), _xml(message), F.lit('" type="'), _xml(F.col("provenance")), F.lit('">'), _xml(content), F.lit("</failure></testcase>"))
+    return findings.select(*keep, case.alias("value"))
 
 
 def annotations(findings: DataFrame) -> DataFrame:
