@@ -59,7 +59,7 @@ RULES = [
     ("all-rights-reserved", ["all-rights"]),
 ]
 
-#: Triggers of SENTENCES, which with RULES are the table of the registered SQL.
+#: Parts of words that most known sentences have.
 TRIGGERS = ("licens", "permission", "permitted", "warranty", "free software", "copyright")
 
 #: What is known by default: the sentences above, and the whole ones of the licences' own texts.
@@ -76,16 +76,64 @@ KNOWN = SENTENCES | {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
 }
 
+_LATER = ", or (at your option) any later version"
+_FSF = "as published by the Free Software Foundation"
+_TERMS = "you can redistribute it and/or modify it under the terms of the GNU "
+_CC = "This work is licensed under a Creative Commons "
+#: More licences, each by the sentences that name it: (identifier, sentence, licence). A licence of None
+#: is named by a rule of several sentences.
+MORE = [
+    ("lgpl-free", "This library is free software", None),
+    ("lgpl-redistribute", f"{_TERMS}Lesser General Public License {_FSF}", None),
+    ("lgpl-21-or-later", f"either version 2.1 of the License{_LATER}", None),
+    ("lgpl-21-whole", f"{_TERMS}Lesser General Public License {_FSF}, either version 2.1 of the License{_LATER}", "LGPL-2.1-or-later"),
+    ("lgpl-3-whole", f"{_TERMS}Lesser General Public License {_FSF}, either version 3 of the License{_LATER}", "LGPL-3.0-or-later"),
+    ("agpl-3-whole", f"{_TERMS}Affero General Public License {_FSF}, either version 3 of the License{_LATER}", "AGPL-3.0-or-later"),
+    ("gpl-2-only", f"{_TERMS}General Public License version 2 {_FSF}", "GPL-2.0-only"),
+    ("gpl-3-short-2", "Licensed under the GNU General Public License v3.0", "GPL-3.0-only"),
+    ("gfdl-13", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation", "GFDL-1.3-or-later"),
+    ("mpl-2-form", "This Source Code Form is subject to the terms of the Mozilla Public License, v", None),
+    ("mpl-2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/", "MPL-2.0"),
+    ("mpl-2-copy-plain", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "MPL-2.0"),
+    ("mpl-2-short", "Licensed under the Mozilla Public License 2.0", "MPL-2.0"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "ISC"),
+    ("isc-grant-and", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "ISC"),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "0BSD"),
+    ("unlicense-free", "This is free and unencumbered software released into the public domain", "Unlicense"),
+    ("boost-short", "Distributed under the Boost Software License, Version 1.0", "BSL-1.0"),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "Zlib"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    ("bsd-advertising", "All advertising materials mentioning features or use of this software must display the following acknowledgement", None),
+    ("bsd-short", "Licensed under the BSD License", "BSD"),
+    ("bsd-3-short", "Licensed under the BSD 3-Clause License", "BSD-3-Clause"),
+    ("bsd-2-short", "Licensed under the BSD 2-Clause License", "BSD-2-Clause"),
+    ("cc-by-4-work", f"{_CC}Attribution 4.0 International License", "CC-BY-4.0"),
+    ("cc-by-sa-4-work", f"{_CC}Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"),
+    ("cc-by-nd-4-work", f"{_CC}Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"),
+    ("cc-by-nc-4-work", f"{_CC}Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"),
+    ("cc-by-nc-sa-4-work", f"{_CC}Attribution-NonCommercial-ShareAlike 4.0 International License", "CC-BY-NC-SA-4.0"),
+    ("apache-2-short-2", "Released under the Apache License 2.0", "Apache-2.0"),
+]
+KNOWN |= {name: text for name, text, _ in MORE}
+
 _BSD = ["bsd-redistribution", "bsd-source", "bsd-binary"]
 _MIT = [[grant, "mit-notice", as_is] for grant in ("mit-grant-whole", "mit-grant") for as_is in ("as-is-whole", "as-is")]
 #: Rules over KNOWN, in order of trial. A BSD text's own "All rights reserved" is part of it.
 KNOWN_RULES = [
+    ("BSD-4-Clause", ["all-rights-plain", *_BSD, "bsd-advertising"]),
+    ("BSD-4-Clause", [*_BSD, "bsd-advertising"]),
     ("BSD-3-Clause", ["all-rights-plain", *_BSD, "bsd-endorse"]),
     ("BSD-3-Clause", [*_BSD, "bsd-endorse"]),
     ("BSD-2-Clause", ["all-rights-plain", *_BSD]),
     ("BSD-2-Clause", _BSD),
     *[("MIT", ids) for ids in _MIT],
     *[("Apache-2.0", [short, "apache-2-use", copy]) for short in ("apache-2-whole", "apache-2-short") for copy in ("apache-2-copy-whole", "apache-2-copy")],
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-redistribute", "lgpl-21-or-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-21-whole"]),
+    ("LGPL-3.0-or-later", ["gpl-free", "lgpl-3-whole"]),
+    ("AGPL-3.0-or-later", ["gpl-free", "agpl-3-whole"]),
+    ("GPL-2.0-only", ["gpl-free", "gpl-2-only"]),
+    *[("MPL-2.0", ["mpl-2-form", copy]) for copy in ("mpl-2-copy", "mpl-2-copy-plain")],
     ("GPL-3.0-or-later", ["gpl-free", "gpl-3-or-later-whole"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-2-or-later-whole"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-redistribute", "gpl-2-or-later"]),
@@ -95,6 +143,7 @@ KNOWN_RULES = [
     ("MIT", ["mit-grant-whole"]),
     ("Apache-2.0", ["apache-2-whole"]),
     *[rule for rule in RULES if len(rule[1]) == 1],
+    *[(licence, [name]) for name, _, licence in MORE if licence],
     ("all-rights-reserved", ["all-rights-plain"]),
 ]
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from siftlake.llm.licenses import RULES as LICENSE_RULES
-from siftlake.llm.licenses import SENTENCES, TRIGGERS, normalise
+from siftlake.llm.licenses import KNOWN, KNOWN_RULES, normalise, triggers
 from siftlake.llm.urls import DEPTH, DIGITS, KIN, PRIOR, Z
 from siftlake.llm.urls import RULES as URL_RULES
 
@@ -35,26 +34,28 @@ FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.host
 
 
 def _op3() -> str:
-    known = ", ".join(f"('{normalise(s)}', '{name}')" for name, s in SENTENCES.items())
-    trigger = " OR ".join(f"contains(x, '{t}')" for t in TRIGGERS)
-    steps, last = [], "chain"
-    for k, (name, ids) in enumerate(LICENSE_RULES):
+    known = ", ".join(f"('{normalise(s)}', '{name}')" for name, s in KNOWN.items())
+    most = max(len(normalise(s).split()) for s in KNOWN.values())
+    held = lambda c: " OR ".join(f"contains({c}, '{t}')" for t in triggers(KNOWN))
+    steps, last = "", "r"
+    for k, (name, ids) in enumerate(KNOWN_RULES):
         rule = "".join(f"<{x}>" for x in ids)
-        steps.append(f"replace({last}, '{rule}', '|') AS c{k}, CASE WHEN contains({last}, '{rule}') THEN '{name}' END AS f{k}")
-        last = f"c{k}"
-    found = ", ".join(f"f{k}" for k in range(len(LICENSE_RULES)))
+        steps += f",\nr{k} AS (SELECT * REPLACE (replace(chain, '{rule}', '|') AS chain, CASE WHEN contains(chain, '{rule}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found) FROM {last})"
+        last = f"r{k}"
+    # sentences end at punctuation and at lines without letters; runs of lines, the longest first
     return rf"""
-WITH known(s, id) AS (VALUES {known}),
+WITH RECURSIVE known(s, id) AS (VALUES {known}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS x FROM documents),
-c AS (SELECT rid, unnest(parts) AS s, generate_subscripts(parts, 1) AS i
-      FROM (SELECT rid, string_split(regexp_replace(x, '([.;:!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM d WHERE {trigger})),
-k AS (SELECT rid, list(id ORDER BY i) AS ids FROM c JOIN known ON trim(regexp_replace(c.s, '[^a-z0-9]+', ' ', 'g')) = known.s GROUP BY rid),
-m AS (SELECT doc_id, coalesce(ids, []) AS ids, list_aggregate(list_transform(coalesce(ids, []), lambda x: '<' || x || '>'), 'string_agg', '') AS chain
-      FROM d LEFT JOIN k ON d.rid = k.rid),
-r AS (SELECT doc_id, ids, coalesce(chain, '') AS chain, {", ".join(steps)} FROM m)
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids,
-       coalesce(list_aggregate(list_filter(list_distinct_ordered, lambda x: x IS NOT NULL), 'string_agg', ','), '') AS licenses
-FROM (SELECT *, list_filter([{found}], lambda x, i: x IS NOT NULL AND NOT list_contains([{found}][1:i - 1], x)) AS list_distinct_ordered FROM r)
+c AS (SELECT rid, unnest(parts) AS seg, generate_subscripts(parts, 1) AS c FROM (SELECT rid, string_split(regexp_replace(regexp_replace(x, '([.;:!?])[ \t\r\n]+', '\1' || chr(1), 'g'), '\n[^a-z0-9\x01]*\n', chr(1), 'g'), chr(1)) AS parts FROM d WHERE {held("x")})),
+l AS (SELECT rid, c, list_filter(list_transform(string_split(seg, chr(10)), lambda y: trim(regexp_replace(y, '[^a-z0-9]+', ' ', 'g'))), lambda y: y <> '') AS lines FROM c WHERE {held("seg")}),
+n AS (SELECT rid, c, lines, i, unnest(range(1, least({most}, len(lines) - i + 1) + 1)) AS n FROM (SELECT rid, c, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)),
+f AS (SELECT rid, c, i, max(n) AS n, arg_max(id, n) AS id FROM n JOIN known ON array_to_string(lines[i:i + n - 1], ' ') = known.s GROUP BY rid, c, i),
+b AS (SELECT rid, c, i, id, (SELECT min(z.i) FROM f z WHERE z.rid = f.rid AND z.c = f.c AND z.i >= f.i + f.n) AS next FROM f),
+g(rid, c, i, id, next) AS (SELECT b.* FROM b WHERE i = (SELECT min(z.i) FROM f z WHERE z.rid = b.rid AND z.c = b.c)
+  UNION ALL SELECT b.* FROM g JOIN b ON g.rid = b.rid AND g.c = b.c AND g.next = b.i),
+k AS (SELECT rid, list(id ORDER BY c, i) AS ids FROM g GROUP BY rid),
+r AS (SELECT doc_id, coalesce(ids, []) AS ids, coalesce(list_aggregate(list_transform(coalesce(ids, []), lambda x: '<' || x || '>'), 'string_agg', ''), '') AS chain, CAST([] AS VARCHAR[]) AS found FROM d LEFT JOIN k ON d.rid = k.rid){steps}
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids, coalesce(list_aggregate(found, 'string_agg', ','), '') AS licenses FROM {last}
 """
 
 

@@ -356,10 +356,35 @@ modification, are permitted provided that the following conditions are met:
  * (at your option) any later version.
  *"""
     want = [(mit, ["MIT"]), (apache, ["Apache-2.0"]), (bsd, ["BSD-2-Clause"]), (bsd3, ["BSD-3-Clause"]), (gpl % 3, ["GPL-3.0-or-later"]), (gpl % 2, ["GPL-2.0-or-later"]), ("A page. All rights reserved.", ["all-rights-reserved"]), ("all rights\r\nreserved", ["all-rights-reserved"]), ("all rights. reserved all rights\n\nreserved", []), ("a line\nLicensed under\nCC BY 4.0\nmore", ["CC-BY-4.0"])]
+    lgpl = """// This library is free software; you can redistribute it and/or
+// modify it under the terms of the GNU Lesser General Public
+// License as published by the Free Software Foundation; either
+// version 2.1 of the License, or (at your option) any later version.
+//
+// All rights reserved. Licensed under the MIT License."""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+    agpl = gpl.replace("General Public License", "Affero General Public License") % 3
+    want += [(lgpl, ["LGPL-2.1-or-later", "MIT", "all-rights-reserved"]), (mpl, ["MPL-2.0"]), (isc, ["ISC"]), (agpl, ["AGPL-3.0-or-later"]), ("This work is licensed under a Creative Commons Attribution-ShareAlike\n4.0 International License.", ["CC-BY-SA-4.0"])]
     want += [(t.replace("\n", "\r\n"), found) for t, found in want[:6]]
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(want)], "doc_id long, text string")
     got = {r.doc_id: r.licenses for r in licenses.license_scan(df).collect()}
     assert [got[k] for k in range(len(want))] == [found for _, found in want]
+    # the registered SQL reads the same texts
+    import duckdb
+
+    from siftlake.llm import sql
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, (t, _) in enumerate(want)])
+    names = con.execute(sql.ORACLE_SQL["op3_license_scan"]).fetchall()
+    assert {r[0]: r[3] for r in names} == {k: ",".join(found) for k, found in got.items()}
 
 
 def test_urls(spark):
