@@ -241,7 +241,7 @@ PIECE, LEADERS = 1024, 32
 SIGMAS = 4.5
 #: Classes of a candidate component that a task verifies against one another; a larger component is cut
 #: into parts of half as many, and any two parts meet in a task.
-GROUP = 4096
+GROUP = 512
 #: Pairs that one slice of a partition's pieces may have.
 SLICE = 1 << 22
 

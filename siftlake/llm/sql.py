@@ -129,10 +129,17 @@ sizes AS (SELECT DISTINCT size FROM iw),
 dw AS (SELECT rid, size, i, ws[i:i + size - 1] AS win FROM (SELECT rid, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes WHERE len(ws) >= size)),
 hit AS (SELECT dw.rid, dw.i, dw.size, iw.item_id FROM dw JOIN iw ON dw.win = iw.win),
 cov AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM hit) GROUP BY rid),
-it AS (SELECT rid, list(DISTINCT CAST(item_id AS VARCHAR)) AS items FROM hit WHERE item_id IS NOT NULL GROUP BY rid)
+it AS (SELECT rid, list(DISTINCT CAST(item_id AS VARCHAR)) AS items FROM hit WHERE item_id IS NOT NULL GROUP BY rid),
+tok AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+wt AS (SELECT win, unnest(win) AS w, generate_subscripts(win, 1) AS off FROM (SELECT DISTINCT win FROM iw)),
+rare AS (SELECT win, w, off FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY freq, off) AS k FROM wt JOIN (SELECT w, count(*) AS freq FROM tok GROUP BY w) USING (w)) WHERE k = 1),
+near AS (SELECT rid, count(*) AS n_near FROM (SELECT rid, win FROM (
+    SELECT d.rid, win, len(list_filter(range(1, len(win) + 1), lambda k: list_contains(ws[greatest(first + k - 1, 1):first + k + 1], win[k]))) = len(win) AS all_near, first >= 0 AND ws[greatest(first + 1, 1):first + len(win)] = win AS same
+    FROM (SELECT rare.win, tok.rid, tok.p - rare.off AS first FROM tok JOIN rare ON tok.w = rare.w) c JOIN d ON c.rid = d.rid WHERE first >= -1)
+  GROUP BY rid, win HAVING bool_or(all_near) AND NOT bool_or(same)) GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(list_aggregate(list_sort(items), 'string_agg', ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cov ON d.rid = cov.rid LEFT JOIN it ON d.rid = it.rid
+       sha256(coalesce(list_aggregate(list_sort(items), 'string_agg', ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN cov ON d.rid = cov.rid LEFT JOIN it ON d.rid = it.rid LEFT JOIN near ON d.rid = near.rid
 """
 
 ORACLE_SQL = {"op2_quality_rules": OP2, "op3_license_scan": _op3(), "op4_url_filter": _op4(), "op5_chat_format": OP5, "op8_decontaminate": OP8}
