@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.llm._shared import lean, release
 
 UNKNOWN = "und"
 #: Characters of a text that are worked on at a time.
@@ -135,6 +136,7 @@ def labelled(docs: DataFrame, per_language: int, most: int, text_col: str, lang_
     rows = known.select(F.col(lang_col).alias("lang"), chance.alias("chance"), F.col(text_col).cast("string").alias("text")).where(F.col("chance") < rate)
     schema = pa.schema([("lang", pa.string()), ("chance", pa.float64()), ("seen", pa.list_(pa.binary())), ("share", pa.list_(pa.binary())), ("whole", pa.list_(pa.bool_()))])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
@@ -229,7 +231,9 @@ def fit(
     """Learn from at most per_language rows of a language and `most` rows in all, from their whole texts;
     null labels and null texts aren't learnt from. Of more than most / 8 languages, the most frequent
     are learnt."""
-    return train(labelled(docs, per_language, most, text_col, lang_col, id_col, how.get("buckets", BUCKETS)), **how)
+    model = train(labelled(docs, per_language, most, text_col, lang_col, id_col, how.get("buckets", BUCKETS)), **how)
+    release()  # the driver goes on without the sample
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, rejected: bool | None = None) -> DataFrame:
@@ -244,6 +248,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     out = docs.select(*[docs[c] for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from siftlake.llm._shared import groups
+from siftlake.llm._shared import groups, lean
 from siftlake.llm.segments import encoder
 
 TIERS = (1024, 512, 256, 128)
@@ -159,6 +159,7 @@ def pack(
     """
     schema = pa.schema([(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, cached_words).encode_column
         packer = Packer(tiers, step_tokens, pool, TaskContext.get().partitionId() << 33)

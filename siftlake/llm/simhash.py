@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import groups, join_sized, materialize, whole_groups
+from siftlake.llm._shared import groups, join_sized, lean, materialize, whole_groups
 
 ROWS = 256
 #: Searches that go down a forest at a time.
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and fp (the fingerprint's bits as a signed long) of every whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -167,6 +168,7 @@ def links(distinct: DataFrame, radius: int = 2, shard_size: int = 20_000) -> Dat
     sent = sent.sortWithinPartitions("shard", "tree", F.desc("member"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a tree's own fingerprints come first, so those searched later find all of them in `kept`
         kept = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -243,7 +245,7 @@ SIGMAS = 4.5
 #: into parts of half as many, and any two parts meet in a task.
 GROUP = 512
 #: Pairs that one slice of a partition's pieces may have.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -316,6 +318,7 @@ def copy_links(classes: DataFrame, similarity: float = 0.8, piece: int = PIECE,
     spread = sized.select("same", *fs, "shard", F.explode(F.when(lead, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(own))).alias("piece"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["shard", "piece"]):
             same, shard, part = (t.column(c).to_numpy() for c in ("same", "shard", "piece"))
@@ -364,6 +367,7 @@ def _across(rows: DataFrame, fs: list[str], first: int, whole: int) -> DataFrame
     pairs = pairs.select("root", *fs, "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") < F.col("other")).alias("side"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["shard", "low", "high"]):
             root, side = t.column("root").to_numpy(), t.column("side").to_numpy()
@@ -430,6 +434,7 @@ def _verified(keys: DataFrame, classes: DataFrame, roots: DataFrame, shingle: in
     names = ["root", "same", "parts", *fs]
     schema = pa.schema([*[(c, pa.int64()) for c in names], ("hashes", pa.large_binary())])
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -439,6 +444,7 @@ def _verified(keys: DataFrame, classes: DataFrame, roots: DataFrame, shingle: in
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["root", "low", "high"]):
             same, hashes = t.column("same").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
@@ -468,6 +474,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["doc_id", "same", *[f"f{k}" for k in range(WORDS)], *[f"k{k}" for k in range(KEYS)], "txt"]
     schema = pa.schema([(c, pa.int64()) for c in names])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import groups
+from siftlake.llm._shared import groups, lean
 
 MARK = "▁"
 #: Bytes of texts whose distinct words share a trie.
@@ -136,6 +136,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = model or default_path()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_pretokens", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie(path, terminals)
         for some in groups(batches, TOGETHER):

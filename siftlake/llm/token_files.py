@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm._shared import groups, shared_dir
+from siftlake.llm._shared import groups, lean, shared_dir
 from siftlake.llm.segments import encoder
 
 MAGIC = b"RPT1"
@@ -196,6 +196,7 @@ def write(
     schema = "part int, shard int, n_docs long, n_ids long, payload binary"
     arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer).encode_column, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
@@ -233,6 +234,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     bases = dict(zip([p for p, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist()))
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
