@@ -37,7 +37,7 @@ _JOINED = 512
 
 _large = functools.partial(pa.scalar, type=pa.large_string())
 
-_held: dict[tuple[str, int], "SegmentEncoder"] = {}
+_held: dict[tuple[str, int, int], "SegmentEncoder"] = {}
 
 
 def default_path() -> str:
@@ -46,12 +46,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str | None = None, cached: int = 400_000) -> "SegmentEncoder":
+def encoder(path: str | None = None, cached: int = 400_000, together: int = 1 << 23) -> "SegmentEncoder":
     """This worker process's encoder for a tokenizer file; later tasks of the worker use it again."""
     path = path or default_path()
-    if (path, cached) not in _held:
-        _held[path, cached] = SegmentEncoder(path, cached)
-    return _held[path, cached]
+    key = (path, cached, together)
+    if key not in _held:
+        _held[key] = SegmentEncoder(*key)
+    return _held[key]
 
 
 class _Segments:
